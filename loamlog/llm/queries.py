@@ -31,8 +31,26 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import index_media, store_media
+
+    rows = index_media(store_media(_table(spark, sf_dir, "documents")))
+    offsets = F.crc32(F.array_join("frame_offsets", ","))
+    feature = F.format_string("mp3 samples=%d rate=%d frames=%d vbr=%d/%d offsets=%08x errors=%d skipped=%d", "samples", "sample_rate", "frames", "vbr_frames", "vbr_bytes", offsets, "checksum_errors", "skipped_bytes")
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, octet_length(payload) - 63, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op7_token_files)}
+    return {f.__name__: f for f in (op1_packing, op7_token_files, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
