@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import binary_array, byte_slices, checkpointed, open_fs, shared_path
-from .tokens import WordEncoder, with_end
+from .tokens import with_end, word_encoder
 
 MAGIC = b"PFORIDS1"
 BLOCK = 512
@@ -223,7 +223,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
                     fs, at = open_fs(target)
                     fs.create_dir(at.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(at)
-                    encoder, writer = WordEncoder(tokenizer_path), ShardWriter(out)
+                    encoder, writer = word_encoder(tokenizer_path), ShardWriter(out)
                 writer.add(part["doc_id"], *with_end(*encoder.encode(part["text"]), end_id))
                 documents += len(part)
         if writer is not None:

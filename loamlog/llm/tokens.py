@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +16,19 @@ from pyspark.sql import types as T
 
 from .common import binary_array, byte_slices, ragged_take
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
+JOINED = 200
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
-    """Encodes texts of a tokenizer that drops white space and never looks across it.
+    """Encodes texts of a tokenizer that lower-cases, drops white space and never looks across it.
 
     Texts are split at ASCII white space only, a subset of what the tokenizer itself splits
-    at, so other white space stays inside a word and the tokenizer treats it there. Ids of
+    at, so other white space stays inside a word and the tokenizer treats it there. A word's
+    trailing ASCII punctuation (but for the apostrophe, which can belong to letters) is a word of its own
+    where a letter or number stands before it, as the tokenizer separates them too. ASCII capitals
+    are lowered. Words with the opening of a special token are left as they are. Ids of
     words are kept until ``CACHE_WORDS`` are known, then forgotten, so memory stays bounded.
     """
 
@@ -32,6 +39,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        ends = [i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_end[ends] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -40,36 +50,84 @@ class WordEncoder:
         self.starts = np.empty(0, np.int64)
         self.lengths = np.empty(0, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
+    def _add(self, words: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
         base = len(self.lengths)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, flat])
         self.slots.update(zip(words, range(base, base + len(words)), strict=True))
 
+    def _learn(self, words: list[str]) -> None:
+        plain = pc.match_substring_regex(pa.array(words, pa.string()), r"^\pL+$").to_numpy(zero_copy_only=False)
+        alone = [w for w, p in zip(words, plain, strict=True) if not p]
+        words = [w for w, p in zip(words, plain, strict=True) if p]
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        known, parts, sizes = [], [], []
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            ends = np.flatnonzero(self.is_end[ids])
+            if len(ends) == len(group):  # letters make one piece, and its last id alone ends a word
+                known += group
+                parts.append(ids)
+                sizes.append(np.diff(ends, prepend=-1))
+            else:
+                alone += group
+        if known:
+            self._add(known, np.concatenate(parts), np.concatenate(sizes))
+        if alone:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            self._add(alone, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
+
+    def _slots_of(self, words: pa.Array) -> np.ndarray:
+        listed = words.to_pylist()
+        return np.fromiter(map(self.slots.__getitem__, listed), np.int64, len(listed))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and each text's number of ids; null counts as empty."""
-        texts = pc.fill_null(texts, "")
-        split = pc.ascii_split_whitespace(texts)
-        if isinstance(split, pa.ChunkedArray):
-            split = split.combine_chunks()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = pc.list_flatten(split).dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary
+        lowered = pc.ascii_lower(words)
+        stem = pc.utf8_rtrim(lowered, characters=PUNCTUATION)
+        cut = pc.and_(pc.match_substring_regex(stem, r"[\pL\pN]$"), pc.invert(pc.match_substring_regex(words, r"<\||\x{130}")))  # U+0130 lowers to a letter and a mark
+        stem = pc.if_else(cut, stem, words)
+        size = pc.binary_length(stem).to_numpy(zero_copy_only=False)
+        tail = _tails(lowered, np.where(cut.to_numpy(zero_copy_only=False), size, -1))
+        stems, tails = stem.dictionary_encode(), tail.dictionary_encode()
         if len(self.slots) > CACHE_WORDS:
             self._forget()
-        if new := [w for w in words if w not in self.slots]:
+        if new := [w for w in dict.fromkeys([*stems.dictionary.to_pylist(), *tails.dictionary.to_pylist()]) if w not in self.slots]:
             self._learn(new)
-        slot = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
-        lengths = self.lengths[slot]
-        flat = ragged_take(self.flat, self.starts[slot], lengths)
+        pair = np.empty(2 * len(words), np.int64)
+        pair[0::2] = self._slots_of(stems.dictionary)[stems.indices.to_numpy(zero_copy_only=False)]
+        pair[1::2] = self._slots_of(tails.dictionary)[tails.indices.to_numpy(zero_copy_only=False)]
+        table = ragged_take(self.flat, self.starts[pair], self.lengths[pair])
+        sizes = self.lengths[pair].reshape(-1, 2).sum(axis=1)
+        starts = np.cumsum(sizes) - sizes
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[word]
+        flat = ragged_take(table, starts[word], lengths)
         ends = np.concatenate([[0], np.cumsum(lengths)])
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))])
         return flat, np.diff(ends[bounds])
 
 
+def _tails(words: pa.Array, cut: np.ndarray) -> pa.Array:
+    """What follows the first ``cut`` bytes of each word; empty where ``cut`` is negative."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    lengths = np.where(cut < 0, 0, np.diff(offsets) - cut)
+    out = ragged_take(data, offsets[:-1] + np.maximum(cut, 0), lengths)
+    return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.py_buffer(out)])
+
+
+@lru_cache(2)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder a process; tasks that run one after another share its words."""
+    return WordEncoder(path)
+
+
 def with_end(flat: np.ndarray, counts: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Append ``end_id`` to each text's ids."""
     if end_id is None:
@@ -91,7 +149,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = word_encoder(tokenizer_path)
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 flat, counts = with_end(*encoder.encode(part["text"]), end_id)
