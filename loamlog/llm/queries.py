@@ -31,6 +31,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import index_media, store_media
 
@@ -59,7 +65,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_warc, op7_token_files, op10_media)}
+    return {f.__name__: f for f in (op1_packing, op2_warc, op7_token_files, op9_near_duplicates, op10_media)}
 
 
 OP2_SQL = """

@@ -90,7 +90,7 @@ class WordEncoder:
         words = coded.dictionary
         lowered = pc.ascii_lower(words)
         stem = pc.utf8_rtrim(lowered, characters=PUNCTUATION)
-        cut = pc.and_(pc.match_substring_regex(stem, r"[\pL\pN]$"), pc.invert(pc.match_substring_regex(words, r"<\||\x{130}")))  # U+0130 lowers to a letter and a mark
+        cut = pc.and_(pc.match_substring_regex(stem, r"[\pL\pN]$"), pc.invert(pc.match_substring_regex(words, r"<\||\x{130}|\pM")))  # U+0130 lowers to a letter and a mark; marks may combine with a small letter only
         stem = pc.if_else(cut, stem, words)
         size = pc.binary_length(stem).to_numpy(zero_copy_only=False)
         tail = _tails(lowered, np.where(cut.to_numpy(zero_copy_only=False), size, -1))
