@@ -24,6 +24,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), capacity=2048, end_id=1)
 
 
+def op6_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import vector_links
+
+    return vector_links(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
@@ -65,7 +71,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_warc, op7_token_files, op9_near_duplicates, op10_media)}
+    return {f.__name__: f for f in (op1_packing, op2_warc, op6_vector_links, op7_token_files, op9_near_duplicates, op10_media)}
 
 
 OP2_SQL = """
