@@ -24,6 +24,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), capacity=2048, end_id=1)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_documents, held_out, score_documents
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_documents(docs, _table(spark, sf_dir, "labels"))
+    return score_documents(docs, model, threshold=0.7).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vectors import vector_links
 
@@ -71,7 +79,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_warc, op6_vector_links, op7_token_files, op9_near_duplicates, op10_media)}
+    return {f.__name__: f for f in (op1_packing, op2_warc, op3_toxicity, op6_vector_links, op7_token_files, op9_near_duplicates, op10_media)}
 
 
 OP2_SQL = """
