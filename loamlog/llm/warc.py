@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 import math
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import byte_slices, checkpointed, open_fs, shared_path
 
 MAGIC = b"WARC/1.1\r\n"
+GZIP = b"\x1f\x8b\x08"
+CHUNK = 32 << 10
 MAX_HEADER = 64 << 10
 SPLIT_BYTES = 8 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -66,26 +70,29 @@ def with_revisits(pages: DataFrame, min_bytes: int = 1000, id_column: str = "pag
     return keyed.join(groups, "_key", "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", refers.alias("refers_to"))
 
 
-def write_archives(records: DataFrame, path: str | None = None, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def write_archives(records: DataFrame, path: str | None = None, date: str = "1970-01-01T00:00:00Z", packed: bool = True) -> DataFrame:
     """Write rows of :func:`with_revisits` as archives, one for each partition; returns their manifest.
 
+    With ``packed`` each record is a gzip member of its own, as is usual for archives.
+
     The manifest (``path``, ``size``, ``records``) is checkpointed and alone says which files count: each
     attempt of a task writes a file of its own. An empty table gives an empty manifest.
     """
     base = path or shared_path(records.sparkSession, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = f"{base}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc"
+        target = f"{base}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc{'.gz' * packed}"
+        seal = (lambda record: gzip.compress(record, 6, mtime=0)) if packed else bytes
         out, size, records = None, 0, 0
         for batch in batches:
             for part in byte_slices(batch, "payload"):
                 if out is None:
                     fs, at = open_fs(target)
                     fs.create_dir(at.rpartition("/")[0], recursive=True)
-                    out = fs.open_output_stream(at)
-                    size += out.write(_record("warcinfo", [("WARC-Record-ID", record_id(target)), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
+                    out = fs.open_output_stream(at, compression=None)
+                    size += out.write(seal(_record("warcinfo", [("WARC-Record-ID", record_id(target)), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")))
                 columns = [part[c].to_pylist() for c in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")]
-                size += out.write(b"".join(page_record(*row, date) for row in zip(*columns, strict=True)))
+                size += out.write(b"".join(seal(page_record(*row, date)) for row in zip(*columns, strict=True)))
                 records += len(part)
         if out is not None:
             out.close()
@@ -104,15 +111,68 @@ def _filled(write):
     return run
 
 
-def _successor(data: bytes, at: int) -> tuple[int, int] | None:
-    """Of a record that starts at ``at``: where its block starts and where the next record does."""
-    end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
-    if end < 0 or not data.startswith(MAGIC, at):
-        return None
-    length = LENGTH.search(data, at, end + 2)
-    if length is None:
+class Bytes:
+    """Bytes of an archive from ``base`` on: a part in memory, what follows read from the file where it is needed."""
+
+    def __init__(self, file, base: int, length: int):
+        file.seek(0)
+        self.packed = file.read(2) == GZIP[:2]
+        file.seek(base)
+        self.file, self.base, self.data = file, base, file.read(length)
+
+    def candidates(self, end: int) -> Iterator[int]:
+        """Where magic stands before ``end``, both relative to the base."""
+        magic = GZIP if self.packed else MAGIC
+        p = self.data.find(magic)
+        while 0 <= p < end:
+            yield p
+            p = self.data.find(magic, p + 1)
+
+    def _from(self, p: int) -> Iterator[bytes]:
+        while p < len(self.data):
+            yield self.data[p : p + CHUNK]
+            p += CHUNK
+        self.file.seek(self.base + len(self.data))
+        while more := self.file.read(CHUNK):
+            yield more
+
+    def record(self, p: int, keep: bool) -> tuple[bytes, int] | None:
+        """Of a record that starts at ``p``: its bytes (its header without ``keep``) and where the next starts; None if there is none."""
+        return self._packed(p, keep) if self.packed else self._plain(p, keep)
+
+    def _plain(self, p: int, keep: bool) -> tuple[bytes, int] | None:
+        end = self.data.find(b"\r\n\r\n", p, p + MAX_HEADER)
+        length = LENGTH.search(self.data, p, end + 2) if end >= 0 and self.data.startswith(MAGIC, p) else None
+        if length is None:
+            return None
+        to = end + 8 + int(length[1])
+        if not keep:
+            return self.data[p : end + 4], to
+        if to > len(self.data):
+            self.file.seek(self.base + len(self.data))
+            self.data += self.file.read(to - len(self.data))
+        return self.data[p:to], to
+
+    def _packed(self, p: int, keep: bool) -> tuple[bytes, int] | None:
+        unpack = zlib.decompressobj(31)
+        out, head, used = [], b"", 0
+        try:
+            for chunk in self._from(p):
+                used += len(chunk)
+                more = unpack.decompress(chunk)
+                if len(head) < MAX_HEADER:
+                    head += more[:MAX_HEADER]
+                if len(head) >= len(MAGIC) and not head.startswith(MAGIC):
+                    return None
+                if keep:
+                    out.append(more)
+                if unpack.eof:
+                    if not head.startswith(MAGIC):
+                        return None
+                    return b"".join(out) if keep else head, p + used - len(unpack.unused_data)
+        except zlib.error:
+            pass
         return None
-    return end + 4, end + 8 + int(length[1])
 
 
 def _splits(manifest: DataFrame, split_bytes: int) -> DataFrame:
@@ -135,14 +195,8 @@ def candidates(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
                 fs, at = open_fs(row["path"])
                 start, end = row["split"] * split_bytes, min(row["size"], (row["split"] + 1) * split_bytes)
                 with fs.open_input_file(at) as file:
-                    file.seek(start)
-                    data = file.read(end - start + MAX_HEADER)
-                found: list[tuple[int, int]] = []
-                p = data.find(MAGIC)
-                while 0 <= p < end - start:
-                    if after := _successor(data, p):
-                        found.append((start + p, start + after[1]))
-                    p = data.find(MAGIC, p + 1)
+                    part = Bytes(file, start, end - start + MAX_HEADER)
+                    found = [(start + p, start + after[1]) for p in part.candidates(end - start) if (after := part.record(p, keep=False))]
                 leaves: dict[int, int | None] = {}
                 for offset, to in reversed(found):
                     leaves[offset] = to if to >= end else leaves.get(to)
@@ -195,21 +249,18 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                 fs, at = open_fs(row["path"])
                 begin, end = row["offset"], min(row["size"], (row["split"] + 1) * split_bytes)
                 with fs.open_input_file(at) as file:
-                    file.seek(begin)
-                    data = file.read(end - begin + MAX_HEADER)
+                    part = Bytes(file, begin, end - begin + MAX_HEADER)
                     offset, rows, held = begin, [], 0
                     while offset < end:
-                        place = _successor(data, offset - begin)
+                        place = part.record(offset - begin, keep=True)
                         if place is None or begin + place[1] > row["size"]:
                             raise ValueError(f"{row['path']}: no record at {offset}")
-                        if place[1] > len(data):
-                            file.seek(begin + len(data))
-                            data += file.read(place[1] - len(data))
-                        if data[place[1] - 4 : place[1]] != b"\r\n\r\n":
+                        head, _, block = place[0].partition(b"\r\n\r\n")
+                        fields = _fields(head)
+                        if not block.endswith(b"\r\n\r\n") or len(block) - 4 != int(fields["content-length"]):
                             raise ValueError(f"{row['path']}: the record at {offset} does not end with its length")
-                        fields = _fields(data[offset - begin : place[0] - 4])
                         if fields["warc-type"] in ("response", "revisit"):
-                            http, _, payload = data[place[0] : place[1] - 4].partition(b"\r\n\r\n")
+                            http, _, payload = block[:-4].partition(b"\r\n\r\n")
                             revisit = fields["warc-type"] == "revisit"
                             number = lambda k, f=fields: None if f.get(k, "None") == "None" else int(f[k])
                             rows.append((number("x-page-id"), fields.get("warc-target-uri"), fields["warc-type"], number("x-refers-to-page-id"), fields.get("warc-payload-digest", "").removeprefix("sha1:"), int(_fields(http)["content-length"]), None if revisit else payload))
