@@ -45,6 +45,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    rows = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -79,7 +86,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_warc, op3_toxicity, op6_vector_links, op7_token_files, op9_near_duplicates, op10_media)}
+    return {f.__name__: f for f in (op1_packing, op2_warc, op3_toxicity, op6_vector_links, op7_token_files, op8_repeats, op9_near_duplicates, op10_media)}
 
 
 OP2_SQL = """
