@@ -32,6 +32,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model, threshold=0.7).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_and_decode
+
+    rows = encode_and_decode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return rows.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vectors import vector_links
 
@@ -86,7 +93,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_warc, op3_toxicity, op6_vector_links, op7_token_files, op8_repeats, op9_near_duplicates, op10_media)}
+    return {f.__name__: f for f in (op1_packing, op2_warc, op3_toxicity, op4_bpe, op6_vector_links, op7_token_files, op8_repeats, op9_near_duplicates, op10_media)}
 
 
 OP2_SQL = """
