@@ -39,6 +39,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_pages, fit_weights
+
+    pages = _table(spark, sf_dir, "pages")
+    return extract_pages(pages, fit_weights(pages))
+
+
 def op6_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vectors import vector_links
 
@@ -93,7 +100,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_warc, op3_toxicity, op4_bpe, op6_vector_links, op7_token_files, op8_repeats, op9_near_duplicates, op10_media)}
+    return {f.__name__: f for f in (op1_packing, op2_warc, op3_toxicity, op4_bpe, op5_html, op6_vector_links, op7_token_files, op8_repeats, op9_near_duplicates, op10_media)}
 
 
 OP2_SQL = """
