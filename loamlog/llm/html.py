@@ -84,10 +84,10 @@ def tokens(html: str) -> list[Token]:
             continue
         hints = _hints(rest)
         within = bool(stack) and stack[-1][1]
-        if name == "p" and stack and stack[-1][0] == "p":
+        if name in BLOCKS and stack and stack[-1][0] == "p":
             stack.pop()
         told = bool(hints & BOILER_WORDS) and not hints & {"article"} and name not in ("html", "body", "main", "article")
-        own = name in BOILER or told or (name == "header" or bool(hints & HEADERS)) and not any(n in ("article", "main") for n, _ in stack)
+        own = name in BOILER or told or (name == "header" or bool(hints & HEADERS)) and not any(n in ("article", "main") for n, _, _ in stack)
         boiler = within or own
         held = bool(stack) and stack[-1][2]
         main = not boiler and (name in ("article", "main") or bool(hints & MAIN_WORDS))
