@@ -47,9 +47,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint in the shared folder, for small rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """As :func:`stored`, for steps of an iteration.
+
+    ``DataFrame.checkpoint`` keeps the plan's size estimates, which each join of a loop multiplies until their digits
+    fill the driver; a table that is read again has the size of its files.
+    """
+    return stored(df, "step")
 
 
 def open_fs(uri: str):
