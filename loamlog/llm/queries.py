@@ -99,8 +99,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_warc, op3_toxicity, op4_bpe, op5_html, op6_vector_links, op7_token_files, op8_repeats, op9_near_duplicates, op10_media)}
+    return {f.__name__: f for f in (op1_packing, op2_warc, op3_toxicity, op4_bpe, op5_html, op6_vector_links, op7_token_files, op8_repeats, op9_near_duplicates, op10_media, pipeline)}
 
 
 OP2_SQL = """

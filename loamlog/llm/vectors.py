@@ -188,7 +188,8 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9, id_column: str = "v
 
     count = classes.count()
     placed = classes.mapInArrow(near, "v array<double>, vec_id long, copies long, dimension int, pivot long, angle double")
-    dealt = placed.repartitionByRange(max(1, count // (4 * BLOCK)), "dimension", "pivot", "angle", "vec_id").sortWithinPartitions("dimension", "pivot", "angle", "vec_id")
+    parts = max(1, count // (4 * BLOCK))  # each gives full blocks but for its last
+    dealt = placed.repartitionByRange(parts, "dimension", "pivot", "angle", "vec_id").sortWithinPartitions("dimension", "pivot", "angle", "vec_id").coalesce(parts)
     blocks = checkpointed(dealt.mapInArrow(build, "path string, dimension int, centre array<double>, radius double"))
     numbered = checkpointed(blocks.selectExpr("row_number() over (partition by dimension order by path) - 1 as n", "*"))
     many = numbered.groupBy("dimension").agg(F.count(F.lit(1)).cast("int").alias("blocks"))
