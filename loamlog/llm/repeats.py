@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from .induced import sorted_suffixes
 
 LENGTH = 200
 GRAM = 100
-SLICE = 2 << 20
+SLICE = 128 << 10  # arrays of a slice stay in the cache
 SHARD = 8 << 20
 POSITION_BITS = 24
 
@@ -29,7 +30,7 @@ def _power(which: int, sign: int, n: int) -> np.ndarray:
     found = _powers.get((which, sign))
     if found is None or len(found) < n:
         base = pow(_BASES[which], sign, 1 << 64)
-        found = np.full(max(n, SLICE + (1 << 16)), base, np.uint64)
+        found = np.full(max(n, 1 << 18), base, np.uint64)
         found[0] = 1
         _powers[which, sign] = found = np.multiply.accumulate(found)
     return found[:n]
@@ -67,35 +68,42 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, names_only: bool = False) -> dict[str, np.ndarray]:
     """Contexts of the texts ``data[offsets[i]:offsets[i+1]]``.
 
     Each window of ``length`` bytes has as its anchor the ``gram`` bytes within it that hash least, the leftmost at ties; that depends
     on its bytes alone, so equal windows have equal anchors at equal places. The windows of one anchor follow each other and
-    are one context: ``text``, ``low`` (first window's start), ``windows``, ``anchor`` (hash of the anchor's bytes), ``context`` (hash of all its bytes and the anchor's place).
+    are one context: ``text``, ``low`` (first window's start), ``windows``, ``anchor`` (hash of the anchor's bytes), ``place`` (of the anchor in the context), ``context`` (hash of all its bytes and the
+    anchor's place). With ``names_only`` there are only the anchors' hashes.
     """
     sizes = np.diff(offsets)
     count = np.maximum(0, sizes - length + 1)
     if not count.sum():
-        return {k: np.empty(0, np.int64) for k in ("text", "low", "windows", "anchor", "context")}
-    one, two = Prefixes(data, 0), Prefixes(data, 1)
+        return {k: np.empty(0, np.int64) for k in ("text", "low", "windows", "anchor", "place", "context")}
+    one = Prefixes(data, 0)
     hashed = _mix(one.grams(gram))
-    place = (1 << POSITION_BITS) - 1
-    key = (hashed & ~np.uint64(place)) | np.arange(len(hashed), dtype=np.uint64)
+    low_bits = np.uint64((1 << POSITION_BITS) - 1)
+    key = (hashed & ~low_bits) | np.arange(len(hashed), dtype=np.uint64)
     least = sliding_min(key, length - gram + 1)
     text = np.repeat(np.arange(len(sizes)), count)
     start = np.repeat(offsets[:-1] - (np.cumsum(count) - count), count) + np.arange(len(text))
-    at = (least[start] & np.uint64(place)).astype(np.int64)
+    at = (least[start] & low_bits).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
-    windows = np.diff(np.append(first, len(at)))
     low, anchor = start[first], at[first]
+    if names_only:
+        return {"anchor": hashed[anchor].view(np.int64)}
+    two = Prefixes(data, 1)
+    windows = np.diff(np.append(first, len(at)))
     end = low + windows - 1 + length
     context = _mix(one.of(low, end)) ^ _mix(two.of(low, end) + ((anchor - low) * 1_000_003 + windows).astype(np.uint64))
-    return {"text": text[first], "low": low - offsets[text[first]], "windows": windows, "anchor": hashed[anchor].view(np.int64), "context": context.view(np.int64)}
+    return {"text": text[first], "low": low - offsets[text[first]], "windows": windows, "anchor": hashed[anchor].view(np.int64), "place": anchor - low, "context": context.view(np.int64)}
+
 
+CONTEXT = {"anchor": pa.int64(), "context": pa.int64(), "row_key": pa.int64(), "low": pa.int64(), "windows": pa.int32(), "place": pa.int32()}
 
-def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``anchor``, ``context``, ``row_key``, ``low``, ``windows`` of rows ``row_key``, ``text`` (binary)."""
+
+def _contexts(texts: DataFrame, length: int, gram: int, names_only: bool = False) -> DataFrame:
+    """Contexts of rows ``row_key``, ``text`` (binary), see :func:`anchors`."""
     most = 1 << (POSITION_BITS - 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,10 +116,14 @@ def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 offsets = offsets - offsets[0]
                 pieces = [(0, data, offsets, keys)] if len(data) <= most + SLICE else [(b, data[a + b : min(e, a + b + most + length - 1)], np.array([0, min(e - a - b, most + length - 1)]), keys[i : i + 1]) for i, (a, e) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)) for b in range(0, max(1, int(e - a)), most)]
                 for shift, own, bounds, names in pieces:
-                    found = anchors(own, bounds, length, gram)
-                    yield pa.RecordBatch.from_arrays([pa.array(found["anchor"], pa.int64()), pa.array(found["context"], pa.int64()), pa.array(names[found["text"].astype(np.int64)], pa.int64()), pa.array(found["low"] + shift, pa.int64()), pa.array(found["windows"], pa.int32())], names=["anchor", "context", "row_key", "low", "windows"])
+                    found = anchors(own, bounds, length, gram, names_only)
+                    if not names_only:
+                        found |= {"row_key": names[found["text"].astype(np.int64)], "low": found["low"] + shift}
+                    yield pa.RecordBatch.from_pydict({k: pa.array(found[k], CONTEXT[k]) for k in columns})
 
-    return texts.mapInArrow(run, "anchor long, context long, row_key long, low long, windows int")
+    columns = ["anchor"] if names_only else list(CONTEXT)
+    kinds = {pa.int64(): "long", pa.int32(): "int"}
+    return texts.mapInArrow(run, ", ".join(f"{k} {kinds[CONTEXT[k]]}" for k in columns))
 
 
 def repeated_windows(contexts: list[bytes], windows: list[int], length: int, memory: int = 1 << 20) -> list[np.ndarray]:
@@ -143,12 +155,47 @@ def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist(), strict=True)
 
 
-def _solved(rows: DataFrame, length: int) -> DataFrame:
+def narrowed(rows: list[dict], length: int, gram: int) -> tuple[list[tuple[int, int, int]], list[dict]]:
+    """Spans that are settled, and contexts that only their suffixes can settle, cut to the windows that may repeat.
+
+    A window has half of what ``length`` leaves beside its anchor on the left of it, or on the right. So it can only repeat if another context
+    of the anchor has the same bytes there. Contexts that are equal once they are cut repeat as a whole, and one stands for all of them.
+    """
+    half = (length - gram) // 2
+
+    def sides(r: dict) -> tuple[bytes | None, bytes | None]:
+        at = r["place"]
+        left, right = r["bytes"][max(0, at - half) : at], r["bytes"][at + gram : at + gram + half]
+        return left if len(left) == half else None, right if len(right) == half else None
+
+    lefts, rights = Counter(), Counter()
+    for r in rows:
+        left, right = sides(r)
+        lefts[r["anchor"], left] += left is not None
+        rights[r["anchor"], right] += right is not None
+    same: dict[tuple, list[dict]] = {}
+    for r in rows:
+        left, right = sides(r)
+        first, last = 0, r["windows"]
+        if lefts[r["anchor"], left] < 2:
+            first = max(first, r["place"] - half + 1)
+        if rights[r["anchor"], right] < 2:
+            last = min(last, r["place"] - (length - gram - half))
+        if first < last:
+            cut = r["bytes"][first : last - 1 + length]
+            same.setdefault((r["anchor"], r["place"] - first, cut), []).append(r | {"bytes": cut, "low": r["low"] + first, "windows": last - first, "place": r["place"] - first})
+    spans = [(r["row_key"], r["low"], r["windows"]) for found in same.values() if len(found) > 1 for r in found if r["copies"] == 1]
+    alone = Counter(anchor for anchor, _, _ in same)
+    return spans, [found[0] | ({"copies": 2} if len(found) > 1 else {}) for (anchor, _, _), found in same.items() if alone[anchor] > 1]
+
+
+def _solved(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """Spans of contexts that occur once as a whole but share an anchor with others; rows of an anchor stand together."""
 
     def solve(held: list[dict]) -> pa.RecordBatch:
-        found = repeated_windows([r["bytes"] for r in held], [r["windows"] for r in held], length)
-        out = [(r["row_key"], r["low"] + a, n) for r, flags in zip(held, found, strict=True) if r["copies"] == 1 for a, n in _runs(flags)]
+        out, left = narrowed(held, length, gram)
+        found = repeated_windows([r["bytes"] for r in left], [r["windows"] for r in left], length) if left else []
+        out += [(r["row_key"], r["low"] + a, n) for r, flags in zip(left, found, strict=True) if r["copies"] == 1 for a, n in _runs(flags)]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["row_key", "low", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,31 +226,32 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     2. Contexts that occur more than once as a whole (by a 64-bit hash of all bytes, within the same 64-bit anchor) repeat as a whole; one of them
        goes on. Groups are counted before they meet, so thousands of copies cost one row for each task.
     3. What is left are different contexts around one anchor. Their bytes are cut out of the texts and dealt by
-       anchor to shards of about ``SHARD`` bytes, which are suffix-sorted.
+       anchor to shards of about ``SHARD`` bytes, which are narrowed (see :func:`narrowed`) and suffix-sorted.
     """
     found = _contexts(texts, length, gram)
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    often = _contexts(texts, length, gram, names_only=True).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     shared = stored(found.join(often, "anchor"), "contexts")
-    kinds = stored(shared.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row_key", "low", "windows")).alias("one")), "kinds")
+    kinds = stored(shared.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row_key", "low", "windows", "place")).alias("one")), "kinds")
     whole = shared.join(kinds.where("copies > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("row_key", "low", "windows")
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     open_ = kinds.join(several, "anchor").select("anchor", "copies", "one.*")
-    wanted = open_.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "copies", "low", "windows")).alias("wanted"))  # bounded by the text's length
+    wanted = open_.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "copies", "low", "windows", "place")).alias("wanted"))  # bounded by the text's length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                rows = [(w["anchor"], w["copies"], key, w["low"], w["windows"], text[w["low"] : w["low"] + w["windows"] - 1 + length]) for key, text, ws in zip(part["row_key"].to_pylist(), part["text"].to_pylist(), part["wanted"].to_pylist(), strict=True) for w in ws]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["anchor", "copies", "row_key", "low", "windows", "bytes"])
+                rows = [(w["anchor"], w["copies"], key, w["low"], w["windows"], w["place"], text[w["low"] : w["low"] + w["windows"] - 1 + length]) for key, text, ws in zip(part["row_key"].to_pylist(), part["text"].to_pylist(), part["wanted"].to_pylist(), strict=True) for w in ws]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["anchor", "copies", "row_key", "low", "windows", "place", "bytes"])
 
-    cuts = texts.join(wanted, "row_key").select("row_key", "text", "wanted").mapInArrow(cut, "anchor long, copies long, row_key long, low long, windows int, bytes binary")
-    solved = stored(_solved(cuts, length), "repeats")
+    cuts = texts.join(wanted, "row_key").select("row_key", "text", "wanted").mapInArrow(cut, "anchor long, copies long, row_key long, low long, windows int, place int, bytes binary")
+    solved = stored(_solved(cuts, length, gram), "repeats")
     return whole.unionByName(solved)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text", as_text: bool = False) -> DataFrame:
     """Remove every byte that a ``length``-byte string covers which also starts anywhere else, in the same text or another.
 
+    With ``as_text`` the text column itself becomes what is kept, less the bytes of characters that were cut in half.
     Strings are judged on the input and matches never cross texts. Adds to each row ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and
     ``kept_bytes`` (binary); columns of these names are replaced, others stay. Null texts count as empty; texts shorter than ``length`` stay whole. Rows that are equal in id and text
     are repeats of each other. An empty table gives no rows. ``gram`` must be at most ``length``.
@@ -234,7 +282,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
                     removed.append(sum(e - a for a, e in merged))
                     runs.append(len(merged))
                     left.append(b"".join(data[a:e] for a, e in zip(edges[::2], edges[1::2], strict=True)))
-                columns = [*(part[c] for c in names), part["_text"], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(left, pa.binary())]
+                text = pa.array([d.decode("utf-8", "ignore").encode() for d in left], pa.binary()) if as_text else part["_text"]
+                columns = [*(part[c] for c in names), text, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(left, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "_text", *new])
 
     fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.select(*names).schema.fields)
