@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import os
+import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import open_fs, ragged_take, shared_path, shuffle_partitions
+from .common import byte_slices, open_fs, ragged_take, shared_path, shuffle_partitions
 
 BLOCK_BYTES = 24 << 20
 ENCODE = 20_000
+CODEC = pa.Codec("zstd", 3)
 
 
 @lru_cache(2)
@@ -75,62 +79,105 @@ class BlockWriter:
         self.keys.append(keys)
         self.size += len(data)
 
-    def close(self, path: str) -> pa.Array:
-        """Write the positions, most frequent words first; returns the words in that order."""
+    def close(self, path: str, buckets: int) -> list[tuple[int, bytes]]:
+        """Write the positions; returns the words of each bucket of the distinct-word table, packed.
+
+        Positions count words from the most frequent on, which packs well. The file also has each one's place
+        in the order of buckets, in which ids come back.
+        """
         index = np.concatenate(self.index)
         order = np.argsort(-np.bincount(index, minlength=len(self.slots)), kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        keys = pa.concat_arrays(self.keys)
-        table = pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(self.counts), pa.int32())], names=["doc_id", "words"])
-        planes = rank[index].astype("<u4").view(np.uint8).reshape(-1, 4).T  # byte planes; the high ones are nearly all zero
+        words = pa.array(self.slots, pa.string())
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in self.slots), np.int64, len(self.slots))
+        sorted_ = pc.sort_indices(words).to_numpy().astype(np.int64)
+        sorted_ = sorted_[np.argsort(bucket[sorted_], kind="stable")]
+        place = np.empty(len(order), np.int32)
+        place[rank[sorted_]] = np.arange(len(order), dtype=np.int32)
+        table = pa.RecordBatch.from_arrays([pa.concat_arrays(self.keys), pa.array(np.concatenate(self.counts), pa.int32())], names=["doc_id", "words"])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_batch(table)
-        parts = [sink.getvalue().to_pybytes(), *(zlib.compress(np.ascontiguousarray(p).tobytes(), 1) for p in planes)]
+        parts = [sink.getvalue().to_pybytes(), pack_numbers(place), pack_numbers(rank[index])]
         fs, at = open_fs(path)
         fs.create_dir(at.rpartition("/")[0], recursive=True)
         with fs.open_output_stream(at, compression=None) as out:
             out.write(np.array([len(p) for p in parts], "<u8").tobytes())
             for p in parts:
                 out.write(p)
-        words = np.array(list(self.slots), object)[order] if len(order) else np.empty(0, object)
-        return pa.array(words, pa.string())
+        if not len(order):
+            return [(0, pack_words(words))]  # only empty texts: a row without words still names the block
+        listed = words.take(pa.array(sorted_))
+        ends = np.searchsorted(bucket[sorted_], np.arange(buckets + 1))
+        return [(b, pack_words(listed.slice(int(x), int(y - x)))) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if y > x]
+
+
+def _squeeze(data: bytes) -> bytes:
+    return struct.pack("<Q", len(data)) + (CODEC.compress(data, asbytes=True) if data else b"")
+
+
+def _expand(data: bytes) -> bytes:
+    size = struct.unpack_from("<Q", data)[0]
+    return CODEC.decompress(data[8:], decompressed_size=size, asbytes=True) if size else b""
+
+
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Unsigned numbers by planes of bytes, whose high ones are nearly all zero."""
+    return _squeeze(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_expand(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
+def _two(first: bytes, second: bytes) -> bytes:
+    return struct.pack("<Q", len(first)) + first + second
+
+
+def _both(data: bytes) -> tuple[bytes, bytes]:
+    size = struct.unpack_from("<Q", data)[0]
+    return data[8 : 8 + size], data[8 + size :]
+
+
+def pack_words(words: pa.Array) -> bytes:
+    return _two(pack_numbers(pc.binary_length(words).to_numpy(zero_copy_only=False)), _squeeze(b"".join(words.cast(pa.binary()).to_pylist())))
+
+
+def unpack_words(data: bytes) -> list[str]:
+    sizes, text = _both(data)
+    sizes, text = unpack_numbers(sizes), _expand(text)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(text)]).to_pylist()
 
 
 def read_block(path: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Ids of a block's texts, their numbers of words, and the words' positions in the block's list."""
+    """Ids of a block's texts, their numbers of words, and each word's place in the order of buckets."""
     fs, at = open_fs(path)
     with fs.open_input_file(at) as file:
-        sizes = np.frombuffer(file.read(40), "<u8").astype(int)
-        head, *planes = (file.read(int(n)) for n in sizes)
+        sizes = np.frombuffer(file.read(24), "<u8").astype(int)
+        head, place, index = (file.read(int(n)) for n in sizes)
     table = pa.ipc.open_stream(head).read_all().combine_chunks()
-    index = np.stack([np.frombuffer(zlib.decompress(p), np.uint8) for p in planes], axis=1)
-    return table["doc_id"].combine_chunks(), table["words"].to_numpy(), np.ascontiguousarray(index).view("<u4").reshape(-1)
+    return table["doc_id"].combine_chunks(), table["words"].to_numpy(), unpack_numbers(place)[unpack_numbers(index)]
 
 
-def word_slots(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Split texts to words: rows ``block`` (its file), ``slot``, ``word``, one for each distinct word of a block.
+def split_words(docs: DataFrame, base: str, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Split texts to words: rows ``bucket``, ``block``, ``words``, the distinct words of a block that fall into a bucket of the table.
 
-    A block is up to ``block_bytes`` of a task's texts; a longer text is one of its own. Its file has what is left: each text's words as positions in the block's list.
+    A block is up to ``block_bytes`` of a task's texts; a longer text is one of its own. Its file below ``base`` has what is left: each text's words as positions in the block's list.
     An attempt writes files of its own, which only its own rows name.
     """
-    base = shared_path(docs.sparkSession, "words")
+    buckets = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import byte_slices
-
         block = BlockWriter()
 
         def close() -> Iterator[pa.RecordBatch]:
-            path = f"{base}/{uuid.uuid4().hex}.words"
-            words = block.close(path)
-            if not len(words):  # only empty texts: a row without a word still names the block
-                words = pa.array([None], pa.string())
-            for k in range(0, len(words), 1 << 16):
-                part = words.slice(k, 1 << 16)
-                yield pa.RecordBatch.from_arrays([pa.array([path]).take(pa.array(np.zeros(len(part), np.int32))), pa.array(np.arange(k, k + len(part)), pa.int32()), part], names=["block", "slot", "word"])
+            name = uuid.uuid4().int >> 65
+            found = block.close(block_path(base, name), buckets)
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([name] * len(found), pa.int64()), pa.array([w for _, w in found], pa.binary())], names=["bucket", "block", "words"])
 
         for batch in batches:
             for part in byte_slices(batch, "text"):
@@ -141,32 +188,43 @@ def word_slots(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         if block.keys:
             yield from close()
 
-    return rows.mapInArrow(run, "block string, slot int, word string")
+    return rows.mapInArrow(run, "bucket int, block long, words binary")
+
+
+def block_path(base: str, name: int) -> str:
+    return f"{base}/{name:016x}.words"
 
 
-def encode_words(slots: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Join the ids of words to their places: ``block``, ``slot``, ``ids`` (little-endian unsigned 32-bit).
+def encode_words(words: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Ids for the words of each row of :func:`split_words`: ``block``, ``bucket``, ``ids`` (packed).
 
-    Equal words of all blocks meet in one task, which encodes each once; a word comes at most once a block, so even the most frequent one is few rows.
+    A bucket of the distinct-word table is built by one task: equal words of all blocks meet there and each is encoded once. Buckets are by a hash of the word, and a
+    word comes once a block however frequent it is, so no bucket is hot.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
-        last, last_ids = None, b""
+        bucket, slots, flats, lengths = None, {}, [], []
         for batch in batches:
-            coded = batch["word"].dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            known = [last_ids] if words and words[0] == last else []
-            todo = words[len(known) :]
-            for k in range(0, len(todo), ENCODE):
-                known += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(todo[k : k + ENCODE], add_special_tokens=False)]
-            if words:
-                last, last_ids = words[-1], known[-1]
-            ids = pa.array(known, pa.binary()).take(coded.indices)
-            yield pa.RecordBatch.from_arrays([batch["block"], batch["slot"], ids], names=["block", "slot", "ids"])
-
-    dealt = slots.repartition(shuffle_partitions(slots.sparkSession), "word").sortWithinPartitions("word")
-    return dealt.mapInArrow(run, "block string, slot int, ids binary")
+            for row in batch.to_pylist():
+                if row["bucket"] != bucket:
+                    bucket, slots, flats, lengths = row["bucket"], {}, [], []
+                listed = unpack_words(row["words"])
+                todo = [w for w in listed if w not in slots]
+                for k in range(0, len(todo), ENCODE):
+                    found = [e.ids for e in tokenizer.encode_batch_fast(todo[k : k + ENCODE], add_special_tokens=False)]
+                    lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+                    flats.append(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
+                slots.update(zip(todo, range(len(slots), len(slots) + len(todo)), strict=True))
+                flats, lengths = [np.concatenate([*flats, np.empty(0, np.uint32)])], [np.concatenate([*lengths, np.empty(0, np.int64)])]
+                starts = np.cumsum(lengths[0]) - lengths[0]
+                place = np.fromiter(map(slots.__getitem__, listed), np.int64, len(listed))
+                ids = ragged_take(flats[0], starts[place], lengths[0][place])
+                packed = _two(pack_numbers(lengths[0][place]), pack_numbers(ids))
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["bucket"]], pa.int32()), pa.array([packed], pa.binary())], names=["block", "bucket", "ids"])
+
+    dealt = words.repartition(shuffle_partitions(words.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "block long, bucket int, ids binary")
 
 
 def piece_table(tokenizer_path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -214,19 +272,20 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "do
     replaces invalid bytes. Null and empty texts have no ids, repeated rows stay, an empty table gives no rows; other columns are not read.
     """
     kind = docs.select(F.col(id_column).alias("doc_id")).schema["doc_id"]
-    joined = encode_words(word_slots(docs, id_column, text_column, block_bytes), tokenizer_path)
+    base = shared_path(docs.sparkSession, "words")
+    joined = encode_words(split_words(docs, base, id_column, text_column, block_bytes), tokenizer_path)
 
-    def texts(path: str, parts: list[pa.Array], tables: tuple) -> Iterator[pa.RecordBatch]:
-        keys, words, index = read_block(path)
-        ids = pa.concat_arrays(parts)
-        offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // 4
-        flat = np.frombuffer(ids.buffers()[2] or b"", "<u4").astype(np.int64)
+    def texts(name: int, parts: list[bytes], tables: tuple) -> Iterator[pa.RecordBatch]:
+        keys, words, index = read_block(block_path(base, name))
+        pairs = [tuple(map(unpack_numbers, _both(p))) for p in parts]
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate([n for n, _ in pairs]).astype(np.int64))])
+        flat = np.concatenate([i for _, i in pairs]).astype(np.int64)
         ends = np.cumsum(words)
         at = 0
         while at < len(keys):
-            base = int(ends[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + (1 << 19), side="right")))
-            own = index[base : int(ends[to - 1])]
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + (1 << 19), side="right")))
+            own = index[before : int(ends[to - 1])]
             sizes = offsets[own + 1] - offsets[own]
             found = ragged_take(flat, offsets[own], sizes)
             counts = np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(words[at:to])])])
@@ -238,20 +297,16 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_table(tokenizer_path)
         tables = (pieces, decimal_table(len(pieces[1])))
-        path, parts = None, []
+        block, parts = None, []
         for batch in batches:
-            coded = batch["block"].dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1, [len(codes)]]) if len(codes) else [0]
-            for a, e in zip(edges[:-1], edges[1:], strict=True):
-                name = coded.dictionary[int(codes[a])].as_py()
-                if name != path and parts:
-                    yield from texts(path, parts, tables)
+            for row in batch.to_pylist():
+                if row["block"] != block and parts:
+                    yield from texts(block, parts, tables)
                     parts = []
-                path = name
-                parts.append(batch["ids"].slice(int(a), int(e - a)).fill_null(b""))
+                block = row["block"]
+                parts.append(row["ids"])
         if parts:
-            yield from texts(path, parts, tables)
+            yield from texts(block, parts, tables)
 
-    dealt = joined.repartition(shuffle_partitions(docs.sparkSession), "block").sortWithinPartitions("block", "slot")
+    dealt = joined.repartition(shuffle_partitions(docs.sparkSession), "block").sortWithinPartitions("block", "bucket")
     return dealt.mapInArrow(run, T.StructType([kind, *ENCODED]))
