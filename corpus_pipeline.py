@@ -35,12 +35,9 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that occur at another place too; characters cut in half go as a whole.
 
-    Every document stays, with an empty text where all of it was repeated; ``n_chars`` follows the text.
+    Every document stays, with an empty text where all of it was repeated or it had none; ``n_chars`` follows the text.
     """
-    rows = remove_repeats(docs, length=REPEAT_BYTES)
-    # what a cut leaves of a character isn't valid UTF-8; invalid bytes become U+FFFD and those of the cuts are removed
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.expr("replace(decode(kept_bytes, 'UTF-8'), '\\uFFFD', '')"))
-    changed = rows.withColumn("text", text)
+    changed = remove_repeats(docs, length=REPEAT_BYTES, as_text=True)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return changed.select(*docs.columns)
