@@ -19,7 +19,7 @@ BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 8000  # bound of the rows that a model is fitted on
 WORD = re.compile(r"\w+")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 Z_SCORE, MIN_DOCUMENTS = 5.0, 4
 
 
