@@ -543,6 +543,31 @@ def W1_produce(v: Views) -> DataFrame:
     return read_log(v.spark, path)
 
 
+@query('SELECT topic, "partition", arrival, seq FROM (SELECT *, lag(seq) OVER (PARTITION BY topic, "partition" ORDER BY arrival) AS prev FROM (SELECT topic, "partition", event_id AS arrival, CASE WHEN event_id % 50 = 0 THEN 1 ELSE seq END AS seq FROM log)) WHERE seq <= prev')
+def W2_validate_explicit(v: Views) -> DataFrame:
+    seq = F.when(F.col("event_id") % 50 == 0, 1).otherwise(F.col("seq")).cast("long")
+    return W.validate_explicit(v.numbered.select(*TP, F.col("event_id").alias("arrival"), seq.alias("seq")))
+
+
+@query()
+def W14_create_topic(v: Views) -> DataFrame:
+    from ..sources.store import create_topic, scratch
+
+    path = scratch(v.spark, "topics")
+    create_topic(v.spark, path, "made", 3, 2)
+    return v.spark.read.parquet(f"{path}/partitions")
+
+
+@query()
+def S12_list_segments(v: Views) -> DataFrame:
+    from ..sources.segments import list_segments, write_segments
+    from ..sources.store import scratch
+
+    path = scratch(v.spark, "listed")
+    write_segments(v.messy, path)
+    return v.spark.createDataFrame([(s.topic, s.partition, s.base, s.sealed) for s in list_segments(path)], "topic string, partition int, base_seq long, sealed boolean")
+
+
 @query()
 def W4_W5_roll(v: Views) -> DataFrame:
     return W.roll_segments(_bundles(v), 900)
@@ -788,6 +813,51 @@ def X31_json(v: Views) -> DataFrame:
     return rows.select("conv_id", "turn", parsed["role"].alias("role"), parsed["turn"].alias("t"))
 
 
+@query("SELECT event_id, user_id AS value, user_id AS back FROM events")
+def X21_varint(v: Views) -> DataFrame:
+    """Numbers through the varint form of the segment files, a batch of rows at a time."""
+    import pyarrow as pa
+
+    from ..sources.encoding import read_varint, varint
+
+    def run(batches):
+        for b in batches:
+            coded = [varint(x) for x in b["value"].to_pylist()]
+            back = [read_varint(c, 0, len(c))[0] for c in coded]
+            yield pa.RecordBatch.from_arrays([b["event_id"], b["value"], pa.array(back, pa.int64())], names=["event_id", "value", "back"])
+
+    return v.table("events").select("event_id", F.col("user_id").alias("value")).mapInArrow(run, "event_id long, value long, back long")
+
+
+@query("SELECT event_id, props AS back FROM events")
+def X22_snappy(v: Views) -> DataFrame:
+    """Content through raw Snappy blocks, as compressed bundles have it."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            plain = [x.encode() for x in b["props"].to_pylist()]
+            back = [pa.decompress(pa.compress(x, codec="snappy", asbytes=True), decompressed_size=len(x), codec="snappy", asbytes=True).decode() for x in plain]
+            yield pa.RecordBatch.from_arrays([b["event_id"], pa.array(back)], names=["event_id", "back"])
+
+    return v.table("events").select("event_id", "props").mapInArrow(run, "event_id long, back string")
+
+
+@query("SELECT spec, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM (VALUES ('2024.01.02@3:04', 1704164640, 4294967295), ('2024.01.02+90', 1704153600, 1704153690), ('2024.02.30', 0, 0), ('2024.01.02@24', 0, 0)) x(spec, lo, hi)")
+def X1_time_window(v: Views) -> DataFrame:
+    from ..functions.parsers import parse_time_window
+
+    specs = ("2024.01.02@3:04", "2024.01.02+90", "2024.02.30", "2024.01.02@24")
+    return v.spark.createDataFrame([(s, *parse_time_window(s, T0 // 1000)) for s in specs], "spec string, lo long, hi long")
+
+
+@query("SELECT spec, CAST(n AS BIGINT) AS n FROM (VALUES ('1d+2h', 93600), ('1w,1d', 691200), ('1g', 1073741824), ('1m+1k', 1049600)) x(spec, n)")
+def X3_X4_durations_and_sizes(v: Views) -> DataFrame:
+    from ..functions.parsers import parse_duration, parse_size
+
+    return v.spark.createDataFrame([*((s, parse_duration(s)) for s in ("1d+2h", "1w,1d")), *((s, parse_size(s)) for s in ("1g", "1m+1k"))], "spec string, n long")
+
+
 # --- the binary format
 
 
