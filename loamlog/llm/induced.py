@@ -86,7 +86,8 @@ def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int = D
 class _Pushes:
     """Deals batches of inducing suffixes to the buckets before them, with the least common prefix since each bucket's last."""
 
-    def __init__(self, alphabet: int, memory: int):
+    def __init__(self, alphabet: int, memory: int, carry: bool):
+        self.carry = carry
         self.queues = [TupleQueue(memory) for _ in range(alphabet)]
         self.least = np.zeros(alphabet, np.int64)
 
@@ -100,16 +101,19 @@ class _Pushes:
             order = own[np.argsort(to[own], kind="stable")]
             bucket = to[order]
             first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
-            before = np.where(first, -1, np.concatenate([[0], order[:-1]]))
-            reach = _range_min(lcp, before + 1, order)
-            reach = np.where(first, np.minimum(reach, self.least[bucket]), reach)
-            out = np.empty(len(order), TUPLE)
-            out["at"], out["lcp"] = at[order] - 1, np.minimum(reach + 1, DEPTH)
+            out = np.zeros(len(order), TUPLE)
+            out["at"] = at[order] - 1
+            if self.carry:
+                before = np.where(first, -1, np.concatenate([[0], order[:-1]]))
+                reach = _range_min(lcp, before + 1, order)
+                out["lcp"] = np.minimum(np.where(first, np.minimum(reach, self.least[bucket]), reach) + 1, DEPTH)
             starts = np.flatnonzero(first)
             ends = np.append(starts[1:], len(order))
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 self.queues[bucket[s]].push(out[s:e])
             last, names = order[ends - 1], bucket[starts]
+        if not self.carry:
+            return
         self.least = np.minimum(self.least, lcp.min())
         if len(own):
             after = np.minimum.accumulate(lcp[::-1])[::-1]
@@ -142,14 +146,14 @@ def suffix_types(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def induce(text: np.ndarray, is_s: np.ndarray, alphabet: int, stars: np.ndarray, lcp: np.ndarray, memory: int, padded: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def induce(text: np.ndarray, is_s: np.ndarray, alphabet: int, stars: np.ndarray, lcp: np.ndarray, memory: int, padded: np.ndarray, carry: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes from the last to the first in order, from the sorted leftmost S suffixes and their common prefixes.
 
     Yields chunks of positions and, for each, the common prefix with the one yielded before it. Two passes over the
-    buckets: L suffixes upwards, then S suffixes downwards; each tuple induces the suffix before it.
+    buckets: L suffixes upwards, then S suffixes downwards; each tuple induces the suffix before it. Without ``carry`` the common prefixes mean nothing.
     """
     bounds = np.searchsorted(text[stars], np.arange(alphabet + 1))
-    low = _Pushes(alphabet, memory)
+    low = _Pushes(alphabet, memory, carry)
     last_l = np.full(alphabet, -1)
     for c in range(alphabet):
         low.new_bucket()
@@ -169,7 +173,7 @@ def induce(text: np.ndarray, is_s: np.ndarray, alphabet: int, stars: np.ndarray,
                 l[0] = common_prefix(padded, last_l[c : c + 1], at[:1])[0] if last_l[c] >= 0 else 0
             before = np.where(at > 0, text[at - 1], 0)
             low.deal(at, l, before, at > 0)
-    high = _Pushes(alphabet, memory)
+    high = _Pushes(alphabet, memory, carry)
     for c in range(alphabet - 1, -1, -1):
         high.new_bucket()
         last = -1
@@ -204,19 +208,25 @@ def _order_of_names(names: np.ndarray) -> np.ndarray:
 
     This is the base of the recursion: below the first level there are too many different names for buckets to be worth their cost.
     """
-    rank, width = names.astype(np.int64), 1
-    while True:
-        order = np.argsort(rank, kind="stable")
-        changes = rank[order][1:] != rank[order][:-1]
-        if width >= DEPTH // 2 or changes.all():
-            return order
-        then = np.zeros(len(rank), np.int64)
-        then[: len(rank) - width] = rank[width:] + 1
-        pair = rank * (int(rank.max()) + 2) + then
-        order = np.argsort(pair, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(pair[order][1:] != pair[order][:-1])])
+    order = np.argsort(names, kind="stable")
+    total, width = len(names), 1
+    rank = np.empty(total, np.int64)  # of a suffix: where those that are equal to it so far start in the order
+    first = np.concatenate([[True], names[order][1:] != names[order][:-1]])
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(total), 0))
+    while width < DEPTH // 2:
+        slots = np.flatnonzero(~first | ~np.append(first[1:], True))  # only groups of several go on
+        if not len(slots):
+            break
+        open_ = order[slots]
+        then = np.where(open_ + width < total, rank[np.minimum(open_ + width, total - 1)] + 1, 0)
+        pair = rank[open_] * (total + 1) + then
+        within = np.argsort(pair)
+        order[slots], pair = open_[within], pair[within]
+        fresh = np.concatenate([[True], pair[1:] != pair[:-1]])
+        first[slots] = fresh
+        rank[order[slots]] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(slots)), 0))]
         width *= 2
+    return order
 
 
 def sorted_suffixes(text: np.ndarray, alphabet: int, memory: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -235,7 +245,7 @@ def sorted_suffixes(text: np.ndarray, alphabet: int, memory: int = 1 << 20) -> I
         rough = star[np.argsort(wide[star], kind="stable")]
         place = np.full(len(text), -1, np.int64)
         place[star] = np.arange(len(star))
-        found = [place[at] for at, _ in induce(wide, is_s, alphabet, rough, np.zeros(len(star), np.int64), memory, padded)]
+        found = [place[at] for at, _ in induce(wide, is_s, alphabet, rough, np.zeros(len(star), np.int64), memory, padded, carry=False)]
         nth = np.concatenate(found)[::-1]
         nth = nth[nth >= 0]
         ends = np.append(star[1:], len(text) - 1) - star

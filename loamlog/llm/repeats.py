@@ -229,7 +229,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
        anchor to shards of about ``SHARD`` bytes, which are narrowed (see :func:`narrowed`) and suffix-sorted.
     """
     found = _contexts(texts, length, gram)
-    often = _contexts(texts, length, gram, names_only=True).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # a table of its own, as Spark can split a hot anchor in the join below only if no aggregation runs in the same stage
+    often = stored(_contexts(texts, length, gram, names_only=True).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     shared = stored(found.join(often, "anchor"), "contexts")
     kinds = stored(shared.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row_key", "low", "windows", "place")).alias("one")), "kinds")
     whole = shared.join(kinds.where("copies > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("row_key", "low", "windows")
