@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import byte_slices
 
 BUCKETS = 1 << 20
-PREFIXES = (4, 5, 6)
+PREFIXES = (4,)
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 8000  # bound of the rows that a model is fitted on
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 150_000
