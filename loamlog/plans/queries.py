@@ -155,6 +155,11 @@ def F8_enabled(v: Views) -> DataFrame:
     return v.log.where("seq <= 20").join(v.topics.where("enabled").select(F.col("name").alias("topic")), "topic", "left_semi")
 
 
+@query(f"SELECT {MSG} FROM log WHERE topic IN (SELECT name FROM topics WHERE enabled)")
+def F8_enabled_all(v: Views) -> DataFrame:
+    return v.log.join(v.topics.where("enabled").select(F.col("name").alias("topic")), "topic", "left_semi")
+
+
 @query("SELECT id, session AND endpoint IS NOT NULL AND strlen(endpoint) > 0 AS available, session AND endpoint IS NOT NULL AND strlen(endpoint) > 0 AND NOT blocked AS reachable FROM nodes")
 def F9_node_flags(v: Views) -> DataFrame:
     return v.nodes.withColumn("available", D.node_available()).select("id", "available", D.node_reachable().alias("reachable"))
@@ -195,6 +200,11 @@ def P4_ignore(v: Views) -> DataFrame:
     return S.render(v.log.where("seq <= 3"), ("ignore",))
 
 
+@query("SELECT topic, \"partition\", seq, '' AS line FROM log")
+def P4_ignore_all(v: Views) -> DataFrame:
+    return S.render(v.log, ("ignore",))
+
+
 @query('SELECT topic, "partition", seq, CAST(strlen(content) AS BIGINT) AS size, CAST(strlen(content) + coalesce(strlen(key), 0) + 8 AS BIGINT) AS stats_size FROM messy')
 def P5_size(v: Views) -> DataFrame:
     return v.messy.select(*TP, "seq", S.message_size().alias("size"), S.message_size(stats=True).alias("stats_size"))
@@ -202,7 +212,7 @@ def P5_size(v: Views) -> DataFrame:
 
 @query()
 def P6_time_since(v: Views) -> DataFrame:
-    return S.render(v.log.where("seq <= 3"), ("time_since",))
+    return S.render(v.log, ("time_since",))
 
 
 # --- metadata and statistics
