@@ -110,6 +110,11 @@ def S11_foreach_message(v: Views) -> DataFrame:
     return v.log.where("topic = 'click'").select(*TP, "seq", "content").orderBy("partition", "seq").limit(500)
 
 
+@query('SELECT topic, "partition", seq, content FROM log ORDER BY topic, "partition", seq')
+def S11_foreach_message_all(v: Views) -> DataFrame:
+    return v.log.select(*TP, "seq", "content").orderBy(*TP, "seq")
+
+
 @query('SELECT topic, "partition", max(seq) AS last_seq FROM messy GROUP BY ALL')
 def S15_tail_position(v: Views) -> DataFrame:
     return v.messy.groupBy(*TP).agg(F.max("seq").alias("last_seq"))
@@ -495,6 +500,11 @@ def O5_O6_ordered_segments(v: Views) -> DataFrame:
     return v.segments.where("topic = 'view'").select(*TP, "base_seq", "last_seq").orderBy("partition", "base_seq").limit(40)
 
 
+@query('SELECT topic, "partition", base_seq, last_seq FROM segments ORDER BY topic, "partition", base_seq')
+def O5_O6_ordered_segments_all(v: Views) -> DataFrame:
+    return v.segments.select(*TP, "base_seq", "last_seq").orderBy(*TP, "base_seq")
+
+
 @query(f'SELECT topic, "partition", seq FROM messy WHERE seq <= 64 UNION ALL SELECT topic, "partition", seq FROM messy WHERE seq > 128')
 def set_union_segments(v: Views) -> DataFrame:
     rows = v.messy.select(*TP, "seq")
