@@ -150,13 +150,22 @@ def parse_stream(data: bytes) -> Stream:
 
     A header counts if the next frame's header follows at its end or the stream (or a trailing tag)
     ends there; else the search goes on at the next sync byte. A stream's frames share
-    version, layer and sampling rate.
+    version, layer and sampling rate. The last 128 bytes are an ID3v1 tag if they start as one and
+    no frame reaches into them.
     """
-    out, at, end = Stream(), 0, len(data)
     if data[-128:-125] == b"TAG":
-        out.tags["ID3v1"] = data[-125:]
-        end -= 128
-    kind = None
+        out, across = _frames(data, len(data))
+        if not across:
+            out, _ = _frames(data, len(data) - 128)
+            out.tags["ID3v1"] = data[-125:]
+        return out
+    return _frames(data, len(data))[0]
+
+
+def _frames(data: bytes, end: int) -> tuple[Stream, bool]:
+    """What the bytes before ``end`` hold, and whether a frame reaches into the last 128 bytes from before."""
+    out, at = Stream(), 0
+    kind, across = None, False
     while at + 4 <= end:
         if data[at : at + 3] == b"ID3" and at + 10 <= end:
             at = _id3v2(data, at, out.tags)
@@ -183,6 +192,7 @@ def parse_stream(data: bytes) -> Stream:
                     out.samples += head.samples
                     out.bitrates.add(head.bitrate)
                     out.protected.append(head.protected and head.layer == 3)
+                across |= at < len(data) - 128 < to
                 kind, out.rate = (head.version, head.layer, head.rate), head.rate
                 at = to
                 continue
@@ -193,14 +203,17 @@ def parse_stream(data: bytes) -> Stream:
     private = out.tags.get("PRIV", b"")
     if private.startswith(OWNER + b"\0"):
         out.payload_bytes = struct.unpack_from(">Q", private, len(OWNER) + 1)[0]
-    return out
+    return out, across
 
 
 def payload_of(data: bytes, stream: Stream) -> bytes | None:
-    """The payload that :func:`encode_stream` stored; None for other streams."""
+    """The payload that :func:`encode_stream` stored; None for other streams. A stream that lacks a part of it is an error."""
     if stream.payload_bytes is None:
         return None
-    return b"".join(data[b : o + n] for b, o, n in zip(stream.bodies, stream.offsets, stream.lengths, strict=True))[: stream.payload_bytes]
+    found = b"".join(data[b : o + n] for b, o, n in zip(stream.bodies, stream.offsets, stream.lengths, strict=True))[: stream.payload_bytes]
+    if len(found) != stream.payload_bytes:
+        raise ValueError(f"{len(found)} of {stream.payload_bytes} payload bytes are there")
+    return found
 
 
 def checksum_errors(data: bytes, stream: Stream) -> int:
