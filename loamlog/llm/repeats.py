@@ -17,6 +17,7 @@ LENGTH = 200
 GRAM = 100
 SLICE = 128 << 10  # arrays of a slice stay in the cache
 SHARD = 8 << 20
+HOT = 1 << 18  # bytes of different contexts of one anchor, at most; more are split
 POSITION_BITS = 24
 
 _random = np.random.Generator(np.random.PCG64(271828))
@@ -217,6 +218,56 @@ def _solved(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return dealt.mapInArrow(run, "row_key long, low long, windows int")
 
 
+def _halved(pieces: DataFrame, length: int, gram: int) -> DataFrame:
+    """Each piece as two: its windows with ``least`` to ``most`` bytes before the anchor, by halves of that range.
+
+    Equal windows have as many bytes before the anchor, so they fall into the same half, and all of its windows have ``least`` bytes before the anchor
+    and ``length - gram - most`` bytes after it. ``anchor`` becomes a hash of these with the anchor.
+    """
+    middle = F.floor((F.col("least") + F.col("most") + 1) / 2).cast("int")
+    halves = F.array(F.struct("least", (middle - 1).alias("most")), F.struct(middle.alias("least"), "most"))
+    cut = pieces.withColumn("half", F.explode(halves)).withColumns({"least": F.col("half.least"), "most": F.col("half.most")}).where("least <= most")
+    cut = cut.withColumns({"first": F.expr("greatest(0, place - most)"), "last": F.expr("least(windows - 1, place - least)")}).where("first <= last")
+    shared = F.expr(f"substring(bytes, place - least + 1, least + {length} - most)")
+    return cut.select(
+        F.xxhash64("anchor", "least", "most", shared).alias("anchor"),
+        "copies",
+        "row_key",
+        (F.col("low") + F.col("first")).alias("low"),
+        F.expr("last - first + 1").alias("windows"),
+        F.expr("place - first").alias("place"),
+        F.expr(f"substring(bytes, first + 1, last - first + {length})").alias("bytes"),
+        "least",
+        "most",
+    )
+
+
+def _split_hot(contexts: DataFrame, length: int, gram: int, limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Spans that are settled, and pieces in groups of at most ``limit``, for contexts of anchors that have more.
+
+    Contexts are halved (see :func:`_halved`) until no group is too large. In each round, pieces that are equal (by 128 bits) repeat as a whole and one goes on, and those
+    that are alone in their group are gone. After the last round a piece is one window, and different ones stand alone. Groups are counted before they meet.
+    """
+    spans, small = [], []
+    pieces = contexts.withColumns({"least": F.lit(0), "most": F.lit(length - gram)})
+    equal = ["anchor", "place", "name"]
+    for _ in range((length - gram).bit_length()):
+        parts = stored(_halved(pieces, length, gram).withColumn("name", F.md5("bytes")), "parts")
+        kinds = stored(parts.groupBy(*equal).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "low", "windows", "copies", "least", "most", "bytes")).alias("one")), "part_kinds")
+        spans.append(parts.where("copies = 1").join(kinds.where("n > 1").select(*equal), equal, "left_semi").select("row_key", "low", "windows"))
+        groups = stored(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "part_groups")
+        copies = F.when(F.col("n") > 1, F.lit(2).cast("long")).otherwise(F.col("one.copies")).alias("copies")
+        open_ = stored(kinds.join(groups, "anchor").select("anchor", copies, *(f"one.{c}" for c in ("row_key", "low", "windows")), "place", *(f"one.{c}" for c in ("bytes", "least", "most")), "members"), "open")
+        small.append(open_.where(F.col("members") <= limit))
+        pieces = open_.where(F.col("members") > limit).drop("members")
+        if pieces.isEmpty():
+            break
+    return spans, [p.select(*CUT) for p in (*small, pieces)]
+
+
+CUT = ("anchor", "copies", "row_key", "low", "windows", "place", "bytes")
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Windows that start at another place too: ``row_key``, ``low``, ``windows`` (starts from ``low`` on).
 
@@ -227,6 +278,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
        goes on. Groups are counted before they meet, so thousands of copies cost one row for each task.
     3. What is left are different contexts around one anchor. Their bytes are cut out of the texts and dealt by
        anchor to shards of about ``SHARD`` bytes, which are narrowed (see :func:`narrowed`) and suffix-sorted.
+       Anchors with more than ``HOT`` bytes are split before (see :func:`_split_hot`).
     """
     found = _contexts(texts, length, gram)
     # a table of its own, as Spark can split a hot anchor in the join below only if no aggregation runs in the same stage
@@ -234,9 +286,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     shared = stored(found.join(often, "anchor"), "contexts")
     kinds = stored(shared.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row_key", "low", "windows", "place")).alias("one")), "kinds")
     whole = shared.join(kinds.where("copies > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("row_key", "low", "windows")
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    open_ = kinds.join(several, "anchor").select("anchor", "copies", "one.*")
-    wanted = open_.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "copies", "low", "windows", "place")).alias("wanted"))  # bounded by the text's length
+    several = stored(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
+    limit = max(1, HOT // (2 * length - gram))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,9 +295,21 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 rows = [(w["anchor"], w["copies"], key, w["low"], w["windows"], w["place"], text[w["low"] : w["low"] + w["windows"] - 1 + length]) for key, text, ws in zip(part["row_key"].to_pylist(), part["text"].to_pylist(), part["wanted"].to_pylist(), strict=True) for w in ws]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["anchor", "copies", "row_key", "low", "windows", "place", "bytes"])
 
-    cuts = texts.join(wanted, "row_key").select("row_key", "text", "wanted").mapInArrow(cut, "anchor long, copies long, row_key long, low long, windows int, place int, bytes binary")
-    solved = stored(_solved(cuts, length, gram), "repeats")
-    return whole.unionByName(solved)
+    def cuts(anchors: DataFrame) -> DataFrame:
+        open_ = kinds.join(anchors.select("anchor"), "anchor").select("anchor", "copies", "one.*")
+        wanted = open_.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "copies", "low", "windows", "place")).alias("wanted"))  # bounded by the text's length
+        return texts.join(wanted, "row_key").select("row_key", "text", "wanted").mapInArrow(cut, "anchor long, copies long, row_key long, low long, windows int, place int, bytes binary")
+
+    rows, spans = cuts(several.where(F.col("n") <= limit)), []
+    hot = several.where(F.col("n") > limit)
+    if not hot.isEmpty():
+        spans, pieces = _split_hot(cuts(hot), length, gram, limit)
+        for p in pieces:
+            rows = rows.unionByName(p)
+    out = whole.unionByName(stored(_solved(rows, length, gram), "repeats"))
+    for p in spans:
+        out = out.unionByName(p)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text", as_text: bool = False) -> DataFrame:
