@@ -17,7 +17,7 @@ WORDS = 5
 BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band with probability 3e-6, one of 0.85 with 2e-8
 BITS = 4
 TILE = 512
-SCREEN_SIGMAS = 5.0
+SCREEN_SIGMAS = 7.0  # misses a pair at the threshold with probability 3e-9 (0.85) or 1e-9 (0.8), less than the bands do
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 FACTORS = _random.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
