@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_slices, shuffle_partitions, stored
-from .induced import sorted_suffixes
+from .induced import DEPTH, sorted_suffixes
 
 LENGTH = 200
 GRAM = 100
@@ -280,6 +280,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
        anchor to shards of about ``SHARD`` bytes, which are narrowed (see :func:`narrowed`) and suffix-sorted.
        Anchors with more than ``HOT`` bytes are split before (see :func:`_split_hot`).
     """
+    if length > DEPTH:
+        raise ValueError(f"length {length} is above {DEPTH}, to which common prefixes are exact")
     found = _contexts(texts, length, gram)
     # a table of its own, as Spark can split a hot anchor in the join below only if no aggregation runs in the same stage
     often = stored(_contexts(texts, length, gram, names_only=True).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
@@ -318,7 +320,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     With ``as_text`` the text column itself becomes what is kept, less the bytes of characters that were cut in half.
     Strings are judged on the input and matches never cross texts. Adds to each row ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and
     ``kept_bytes`` (binary); columns of these names are replaced, others stay. Null texts count as empty; texts shorter than ``length`` stay whole. Rows that are equal in id and text
-    are repeats of each other. An empty table gives no rows. ``gram`` must be at most ``length``.
+    are repeats of each other. An empty table gives no rows. ``gram`` must be at most ``length``, and ``length`` at most ``induced.DEPTH``.
     """
     new = ("n_bytes", "n_removed", "n_spans", "kept_bytes")
     kept = [c for c in docs.columns if c not in new]
