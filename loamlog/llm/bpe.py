@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, open_fs, ragged_take, shared_path, shuffle_partitions
+from .common import byte_slices, open_fs, ragged_take, shared_path, shuffle_partitions, stored
 
 BLOCK_BYTES = 24 << 20
 ENCODE = 20_000
@@ -273,7 +273,9 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "do
     """
     kind = docs.select(F.col(id_column).alias("doc_id")).schema["doc_id"]
     base = shared_path(docs.sparkSession, "words")
-    joined = encode_words(split_words(docs, base, id_column, text_column, block_bytes), tokenizer_path)
+    # a table, so that only committed rows name blocks: a task that runs again would make new ones
+    words = stored(split_words(docs, base, id_column, text_column, block_bytes), "split")
+    joined = encode_words(words, tokenizer_path)
 
     def texts(name: int, parts: list[bytes], tables: tuple) -> Iterator[pa.RecordBatch]:
         keys, words, index = read_block(block_path(base, name))
