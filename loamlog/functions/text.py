@@ -49,12 +49,16 @@ def dotnotation_repr(value: Column) -> Column:
 
 
 def duration_repr(us: Column) -> Column:
-    """Microseconds as ``us``, ``ms``, ``s``, ``m`` or ``h``, with up to three decimals."""
-    out = F.concat(us.cast("string"), F.lit("us"))
-    for least, unit in ((1_000, "ms"), (1_000_000, "s"), (60_000_000, "m"), (3_600_000_000, "h")):
-        number = F.rtrim(F.rtrim(F.format_string("%.3f", us / float(least)), F.lit("0")), F.lit("."))
-        out = F.when(us >= least, F.concat(number, F.lit(unit))).otherwise(out)
-    return out
+    """Microseconds as ``999us``, ``0.002s`` (up to three decimals), ``2m5s`` or ``1h30m``; a second part of zero is left out."""
+    seconds = F.floor(us / 1_000_000)
+    decimals = F.rtrim(F.rtrim(F.format_string("%.3f", us / 1_000_000.0), F.lit("0")), F.lit("."))
+    minutes, hours = F.floor(seconds / 60), F.floor(seconds / 3600)
+
+    def parts(large: Column, unit: str, small: Column, then: str) -> Column:
+        return F.concat(large.cast("string"), F.lit(unit), F.when(small > 0, F.concat(small.cast("string"), F.lit(then))).otherwise(""))
+
+    out = F.when(us < 1000, F.concat(us.cast("string"), F.lit("us"))).when(us < 60_000_000, F.concat(decimals, F.lit("s")))
+    return out.when(us < 3_600_000_000, parts(minutes, "m", seconds % 60, "s")).otherwise(parts(hours, "h", minutes % 60, "m"))
 
 
 def divided(text: Column, separator: str) -> tuple[Column, Column]:
@@ -72,11 +76,45 @@ def strip_suffix(text: Column, suffix: str) -> Column:
 
 
 def all_digits(text: Column) -> Column:
-    return F.rlike(text, F.lit("^[0-9]+$"))
+    return F.rlike(text, F.lit(r"^[0-9]+\z"))
 
 
 def parse_integer(text: Column) -> Column:
-    return F.when(F.rlike(text, F.lit("^-?[0-9]+$")), text.try_cast("bigint"))
+    return F.when(F.rlike(text, F.lit(r"^-?[0-9]+\z")), text.try_cast("bigint"))
+
+
+def parse_double(text: Column) -> Column:
+    """A number with an optional sign, fraction and exponent; null for anything else."""
+    return F.when(F.rlike(text, F.lit(r"^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?\z")), text.try_cast("double"))
+
+
+def fnv1_64(data: Column) -> Column:
+    """The 64-bit FNV-1 hash of bytes, as a signed number: a fold over the bytes, each multiplied in and then xored."""
+    # Offset basis 14695981039346656037 and prime 1099511628211 = 2**40 + 435, of which products wrap at 64 bits.
+    low32 = F.lit((1 << 32) - 1)
+
+    def step(h: Column, byte: Column) -> Column:
+        # h * prime without overflow: halves of h times 435, and h shifted by 40
+        low, high = h.bitwiseAND(low32) * 435, F.shiftrightunsigned(h, 32) * 435
+        high = (high + F.shiftrightunsigned(low, 32)).bitwiseAND(low32)
+        shifted = F.shiftleft(h, 40)
+        product = F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(low32))
+        carry_low = product.bitwiseAND(low32) + shifted.bitwiseAND(low32)
+        carry_high = F.shiftrightunsigned(product, 32) + F.shiftrightunsigned(shifted, 32) + F.shiftrightunsigned(carry_low, 32)
+        return F.shiftleft(carry_high.bitwiseAND(low32), 32).bitwiseOR(carry_low.bitwiseAND(low32)).bitwiseXOR(byte)
+
+    hexed = F.hex(data)
+    octets = F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
+    return F.aggregate(F.when(F.octet_length(data) > 0, octets).otherwise(F.array().cast("array<bigint>")), F.lit(14695981039346656037 - (1 << 64)), step)
+
+
+def hours_ago(hour: Column, n: int) -> Column:
+    """The hour of the day ``n`` hours before."""
+    return F.pmod(hour - n, F.lit(24)).cast("int")
+
+
+def hours_later(hour: Column, n: int) -> Column:
+    return hours_ago(hour, -n)
 
 
 def to_base(value: Column, base: int) -> Column:
@@ -90,7 +128,7 @@ def from_base(text: Column, base: int) -> Column:
 
 def is_valid_topic_name(name: Column) -> Column:
     """1 to 64 of ``[A-Za-z0-9_-]``, without ``-`` or ``_`` at either end."""
-    return F.coalesce(F.length(name).between(1, 64) & F.rlike(name, F.lit("^[A-Za-z0-9]([A-Za-z0-9_-]*[A-Za-z0-9])?$")), F.lit(False))
+    return F.coalesce(F.length(name).between(1, 64) & F.rlike(name, F.lit(r"^[A-Za-z0-9]([A-Za-z0-9_-]*[A-Za-z0-9])?\z")), F.lit(False))
 
 
 def normalized_max_wait(ms: Column) -> Column:

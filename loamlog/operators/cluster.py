@@ -152,8 +152,8 @@ def isr_list(ids: Column) -> Column:
 
 
 def parse_ids(text: Column) -> Column:
-    """Ids of a comma-separated list; what isn't digits is left out of a number, and 0 is none."""
-    numbers = F.transform(F.split(text, ","), lambda x: F.regexp_replace(x, "[^0-9]", "").try_cast("int"))
+    """Ids of a comma-separated list in its order; entries that aren't digits alone or no number from 1 to 65535 are none."""
+    numbers = F.transform(F.split(text, ","), lambda x: F.when(F.rlike(x, F.lit(r"^[0-9]+\z")), x.try_cast("int")))
     return F.filter(numbers, lambda x: x.isNotNull() & (x > 0) & (x <= 65535))
 
 
@@ -173,10 +173,13 @@ def dirty_partitions(isr: DataFrame, leaders: DataFrame, gone: DataFrame, self_i
 
 
 def decode_topology(kv: DataFrame) -> DataFrame:
-    """``topic``, ``partition`` and replica list of topology entries: key ``<prefix>/<topic>/<partition>``, value a JSON object with ``replicas``."""
+    """``topic``, ``partition`` and replica list of topology entries: key ``<prefix>/<topic>/<partition>``, value a JSON object with ``replicas``.
+
+    The list of ids is in base64; what can't be decoded is no list.
+    """
     parts = F.split("key", "/")
     value = F.from_json("value", "replicas STRING, rf INT")
-    return kv.select(F.element_at(parts, -2).alias("topic"), F.element_at(parts, -1).try_cast("int").alias("partition"), replica_list(parse_ids(value["replicas"])).alias("replicas"), value["rf"].alias("rf"))
+    return kv.select(F.element_at(parts, -2).alias("topic"), F.element_at(parts, -1).try_cast("int").alias("partition"), F.coalesce(replica_list(parse_ids(F.try_to_binary(value["replicas"], F.lit("base64")).cast("string"))), F.array().cast("array<int>")).alias("replicas"), value["rf"].alias("rf"))
 
 
 def kv_changes(kv: DataFrame, prefix: str, after: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .scan import message_size
 
 # Upper bounds of the latency histogram, in ms.
-BOUNDS = [1, 2, 5, 10, 15, 20, 25, 30, 40, 50, 60, 70, 80, 90, 100, 120, 140, 160, 180, 200, 220, 240, 260, 280, 300, 340, 380, 420, 460, 500]
+BOUNDS = [1, 2, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 65, 75, 85, 95, 100, 110, 120, 130, 140, 150, 200, 250, 300, 350, 400, 450, 500]
 
 
 def bucket(latency_ms: Column, bounds: list[int] | None = None) -> Column:

@@ -200,15 +200,28 @@ def gaps(log: DataFrame) -> DataFrame:
     return with_previous(log.select(*TP, "seq"), ["seq"]).where("seq - prev_seq > 1").select(*TP, F.col("prev_seq").alias("after"), F.col("seq").alias("before"), (F.col("seq") - F.col("prev_seq") - 1).alias("missing"))
 
 
-def with_previous(log: DataFrame, columns: Sequence[str]) -> DataFrame:
+def with_number(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """Add each row's place in its partition by ``order`` (a whole number), from 1 on.
+
+    Rows are numbered within blocks of 2**16 values of ``order`` and the blocks' counts are added up, so a partition with a third of all rows isn't one task's.
+    """
+    blocked = rows.withColumn("_block", F.shiftright(F.col(order).cast("long"), 16))
+    counts = blocked.groupBy(*TP, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = counts.select(*TP, "_block", (F.sum("_n").over(Window.partitionBy(*TP).orderBy("_block")) - F.col("_n")).alias("_ahead"))
+    nth = F.row_number().over(Window.partitionBy(*TP, "_block").orderBy(order))
+    joined = blocked.withColumn("_nth", nth).join(ahead, [*TP, "_block"])
+    return joined.select(*rows.columns, (F.col("_ahead") + F.col("_nth")).cast("long").alias(name))
+
+
+def with_previous(log: DataFrame, columns: Sequence[str], order: str = "seq") -> DataFrame:
     """Add ``prev_<column>`` of the message before in the partition, null for the first.
 
-    One window over blocks of 2**16 sequence numbers, and one over a row for each block, replace a window over whole partitions.
+    One window over blocks of 2**16 values of ``order``, and one over a row for each block, replace a window over whole partitions.
     """
-    blocked = log.withColumn("_block", F.shiftright("seq", 16))
-    lasts = blocked.groupBy(*TP, "_block").agg(F.max_by(F.struct(*columns), "seq").alias("_last"))
+    blocked = log.withColumn("_block", F.shiftright(F.col(order).cast("long"), 16))
+    lasts = blocked.groupBy(*TP, "_block").agg(F.max_by(F.struct(*columns), order).alias("_last"))
     before = lasts.select(*TP, "_block", F.lag("_last").over(Window.partitionBy(*TP).orderBy("_block")).alias("_before"))
-    near = F.lag(F.struct(*columns)).over(Window.partitionBy(*TP, "_block").orderBy("seq"))
+    near = F.lag(F.struct(*columns)).over(Window.partitionBy(*TP, "_block").orderBy(order))
     joined = blocked.withColumn("_near", near).join(before, [*TP, "_block"], "left")
     prev = F.coalesce("_near", "_before")
     return joined.select(*log.columns, *(prev[c].alias(f"prev_{c}") for c in columns))

@@ -105,13 +105,8 @@ def S8_range_end(v: Views) -> DataFrame:
     return S.page_by_bytes(v.messy, 1000).select(*TP, "seq")
 
 
-@query("SELECT topic, \"partition\", seq, content FROM log WHERE topic = 'click' ORDER BY \"partition\", seq LIMIT 500")
-def S11_foreach_message(v: Views) -> DataFrame:
-    return v.log.where("topic = 'click'").select(*TP, "seq", "content").orderBy("partition", "seq").limit(500)
-
-
 @query('SELECT topic, "partition", seq, content FROM log ORDER BY topic, "partition", seq')
-def S11_foreach_message_all(v: Views) -> DataFrame:
+def S11_foreach_message(v: Views) -> DataFrame:
     return v.log.select(*TP, "seq", "content").orderBy(*TP, "seq")
 
 
@@ -155,13 +150,8 @@ def F6_prefix_stop(v: Views) -> DataFrame:
     return S.prefix_stop(v.messy, 80, T0 + 20 * DAY).select(*TP, "seq", "ts_ms", "key", "content")
 
 
-@query(f"SELECT {MSG} FROM log WHERE topic IN (SELECT name FROM topics WHERE enabled) AND seq <= 20")
-def F8_enabled(v: Views) -> DataFrame:
-    return v.log.where("seq <= 20").join(v.topics.where("enabled").select(F.col("name").alias("topic")), "topic", "left_semi")
-
-
 @query(f"SELECT {MSG} FROM log WHERE topic IN (SELECT name FROM topics WHERE enabled)")
-def F8_enabled_all(v: Views) -> DataFrame:
+def F8_enabled(v: Views) -> DataFrame:
     return v.log.join(v.topics.where("enabled").select(F.col("name").alias("topic")), "topic", "left_semi")
 
 
@@ -200,13 +190,8 @@ def P3_render_key_value(v: Views) -> DataFrame:
     return S.render_key_value(v.messy)
 
 
-@query("SELECT topic, \"partition\", seq, '' AS line FROM log WHERE seq <= 3")
-def P4_ignore(v: Views) -> DataFrame:
-    return S.render(v.log.where("seq <= 3"), ("ignore",))
-
-
 @query("SELECT topic, \"partition\", seq, '' AS line FROM log")
-def P4_ignore_all(v: Views) -> DataFrame:
+def P4_ignore(v: Views) -> DataFrame:
     return S.render(v.log, ("ignore",))
 
 
@@ -258,7 +243,7 @@ def A10_counters(v: Views) -> DataFrame:
     return G.topic_counters(v.messy)
 
 
-_BOUNDS = ", ".join(map(str, G.BOUNDS))
+_BOUNDS = "1, 2, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 65, 75, 85, 95, 100, 110, 120, 130, 140, 150, 200, 250, 300, 350, 400, 450, 500"
 
 
 @query(f"SELECT topic, (SELECT min(b) FROM unnest([{_BOUNDS}]) u(b) WHERE b >= latency_ms) AS le, count(*) AS n FROM latency GROUP BY ALL")
@@ -271,7 +256,15 @@ def A12_N10_latency_histogram(v: Views) -> DataFrame:
     return G.latency_histogram(v.latency)
 
 
-@query()
+@query(
+    f""", h AS (SELECT topic, b AS le, (SELECT count(*) FROM latency l WHERE l.topic = t.topic AND l.latency_ms <= b) AS n FROM (SELECT DISTINCT topic FROM latency) t, unnest([{_BOUNDS}]) u(b)),
+    m AS (SELECT topic, count(*) AS n, sum(strlen(content) + coalesce(strlen(key), 0) + 8) AS b FROM messy GROUP BY ALL),
+    t AS (SELECT topic, count(*) AS n, sum(latency_ms) AS s FROM latency GROUP BY ALL)
+    SELECT topic, 'loamlog_msgs_in{{topic="' || topic || '"}} ' || n AS line FROM m UNION ALL SELECT topic, 'loamlog_bytes_in{{topic="' || topic || '"}} ' || b FROM m
+    UNION ALL SELECT topic, 'loamlog_latency_bucket{{topic="' || topic || '",le="' || le || '"}} ' || n FROM h WHERE n > 0
+    UNION ALL SELECT topic, 'loamlog_latency_bucket{{topic="' || topic || '",le="+Inf"}} ' || n FROM t
+    UNION ALL SELECT topic, 'loamlog_latency_sum{{topic="' || topic || '"}} ' || s FROM t UNION ALL SELECT topic, 'loamlog_latency_count{{topic="' || topic || '"}} ' || n FROM t"""
+)
 def W13_exposition(v: Views) -> DataFrame:
     return G.exposition(v.messy, v.latency)
 
@@ -389,7 +382,20 @@ def N5_fixed_batches(v: Views) -> DataFrame:
     return W.fixed_batches(v.messy.select(*TP, "seq"), 5)
 
 
-@query()
+_SIZED = 'sized AS (SELECT topic, "partition", seq, CAST(strlen(content) + coalesce(strlen(key), 0) + 8 AS BIGINT) AS size, ROW_NUMBER() OVER (PARTITION BY topic, "partition" ORDER BY seq) AS rn FROM messy)'
+
+
+def _walk(rows: str, keys: str, most: str, limit: str) -> str:
+    """SQL of a walk over ``rows`` (``keys``, ``rn``, ``size``): ``batch`` grows before a row once the batch meets ``most`` or ``limit``."""
+    on = " AND ".join(f"r.{k} = w.{k}" for k in keys.split(", "))
+    names = ", ".join(f"r.{k}" for k in keys.split(", "))
+    full = f"(w.n >= {most} OR w.total {limit})"
+    return f"""walk AS (SELECT {keys}, rn, size, CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS n, CAST(size AS HUGEINT) AS total FROM {rows} WHERE rn = 1
+    UNION ALL SELECT {names}, r.rn, r.size, CASE WHEN {full} THEN w.batch + 1 ELSE w.batch END, CASE WHEN {full} THEN 1 ELSE w.n + 1 END, CASE WHEN {full} THEN r.size ELSE w.total + r.size END
+    FROM walk w JOIN {rows} r ON {on} AND r.rn = w.rn + 1)"""
+
+
+@query(with_cte(f"{_SIZED}, {_walk('sized', TPQ, '5', '>= 60')}", f"SELECT {TPQ}, seq, size, batch FROM walk JOIN sized USING ({TPQ}, rn, size)"))
 def N6_greedy_batches(v: Views) -> DataFrame:
     return W.greedy_batches(v.messy.withColumn("size", S.message_size(stats=True)), 5, 60)
 
@@ -495,13 +501,8 @@ def O8_elect_leaders(v: Views) -> DataFrame:
     return C.elect_leaders(v.replicas, v.nodes, leaders)
 
 
-@query(f"SELECT topic, \"partition\", base_seq, last_seq FROM segments WHERE topic = 'view' ORDER BY \"partition\", base_seq LIMIT 40")
-def O5_O6_ordered_segments(v: Views) -> DataFrame:
-    return v.segments.where("topic = 'view'").select(*TP, "base_seq", "last_seq").orderBy("partition", "base_seq").limit(40)
-
-
 @query('SELECT topic, "partition", base_seq, last_seq FROM segments ORDER BY topic, "partition", base_seq')
-def O5_O6_ordered_segments_all(v: Views) -> DataFrame:
+def O5_O6_ordered_segments(v: Views) -> DataFrame:
     return v.segments.select(*TP, "base_seq", "last_seq").orderBy(*TP, "base_seq")
 
 
@@ -554,7 +555,7 @@ def W1_bundle_codec(v: Views) -> DataFrame:
     return found.select(*TP, "bundle_base", W.bundle_codec(F.col("n"), F.col("b")).alias("codec"))
 
 
-@query()
+@query(f"SELECT {MSG} FROM log")
 def W1_produce(v: Views) -> DataFrame:
     from ..sources.store import append_log, read_log, scratch
 
@@ -569,7 +570,7 @@ def W2_validate_explicit(v: Views) -> DataFrame:
     return W.validate_explicit(v.numbered.select(*TP, F.col("event_id").alias("arrival"), seq.alias("seq")))
 
 
-@query()
+@query('SELECT \'made\' AS topic, CAST(p AS INT) AS "partition", CAST(0 AS BIGINT) AS first_available, CAST(0 AS BIGINT) AS high_water_mark FROM range(3) r(p)')
 def W14_create_topic(v: Views) -> DataFrame:
     from ..sources.store import create_topic, scratch
 
@@ -578,7 +579,7 @@ def W14_create_topic(v: Views) -> DataFrame:
     return v.spark.read.parquet(f"{path}/partitions")
 
 
-@query()
+@query("SELECT topic, \"partition\", base_seq, sealed FROM segments")
 def S12_list_segments(v: Views) -> DataFrame:
     from ..sources.segments import list_segments, write_segments
     from ..sources.store import scratch
@@ -588,12 +589,81 @@ def S12_list_segments(v: Views) -> DataFrame:
     return v.spark.createDataFrame([(s.topic, s.partition, s.base, s.sealed) for s in list_segments(path)], "topic string, partition int, base_seq long, sealed boolean")
 
 
-@query()
-def W4_W5_roll(v: Views) -> DataFrame:
+_RN = 'ROW_NUMBER() OVER (PARTITION BY topic, "partition" ORDER BY bundle_base) AS rn'
+
+
+@query(with_cte(f"{_BUNDLES}, rolls AS (SELECT *, bytes AS size, {_RN} FROM b), {_walk('rolls', TPQ, '1000000000', '> 900')}", f"SELECT {TPQ}, bundle_base, bytes, batch AS segment FROM walk JOIN rolls USING ({TPQ}, rn, size)"))
+def W4_roll(v: Views) -> DataFrame:
     return W.roll_segments(_bundles(v), 900)
 
 
-@query()
+@query(
+    with_cte(
+        f"{_BUNDLES}, ends AS (SELECT {TPQ}, bundle_base, max(seq) AS last_seq, max(ts_ms) AS ts_ms FROM messy GROUP BY ALL), rolls AS (SELECT *, bytes AS size, {_RN} FROM b JOIN ends USING ({TPQ}, bundle_base)), {_walk('rolls', TPQ, '1000000000', '> 900')}",
+        f"""SELECT {TPQ}, base_seq, last_seq, size_bytes, CASE WHEN sealed THEN frozen END AS frozen_ts, sealed FROM (SELECT *, batch < max(batch) OVER (PARTITION BY {TPQ}) AS sealed FROM
+        (SELECT {TPQ}, batch, min(bundle_base) AS base_seq, max(last_seq) AS last_seq, CAST(sum(bytes) AS BIGINT) AS size_bytes, CAST(max(ts_ms) // 1000 AS BIGINT) AS frozen FROM walk JOIN rolls USING ({TPQ}, rn, size) GROUP BY ALL))""",
+    )
+)
+def W5_seal(v: Views) -> DataFrame:
+    ends = v.messy.groupBy(*TP, "bundle_base").agg(F.max("seq").alias("last_seq"), F.max("ts_ms").alias("ts_ms"))
+    return W.seal_segments(_bundles(v).join(ends, [*TP, "bundle_base"]), 900)
+
+
+@query(
+    f"""SELECT topic, "partition", base_seq, size_bytes > 0 AND (size_bytes > 3000 OR base_seq % 7 * 8 > 40 OR ({T0 // 1000 + 10 * 86400} - created_ts > 604800)) AS due,
+    size_bytes > 0 AND (size_bytes > 3000 OR base_seq % 7 * 8 > 40 OR ({T0 // 1000 + 10 * 86400} - created_ts > 604800) OR ({T0 // 1000 + 10 * 86400} - created_ts > 86400)) AS due_by_age FROM segments"""
+)
+def W4_roll_due(v: Views) -> DataFrame:
+    state = (F.col("size_bytes"), F.col("base_seq") % 7 * 8, F.col("created_ts"), T0 // 1000 + 10 * 86400, 3000, 40, W.roll_jitter(0, F.col("base_seq")))
+    return v.segments.select(*TP, "base_seq", W.roll_due(*state).alias("due"), W.roll_due(*state, max_age_secs=86400).alias("due_by_age"))
+
+
+@query(f"SELECT {MSG} FROM log UNION ALL SELECT 'view', 1, (SELECT max(seq) + 1 FROM log WHERE topic = 'view' AND \"partition\" = 1), {T0}, 'k', 'one more'")
+def W8_append_message(v: Views) -> DataFrame:
+    from ..sources.store import append_log, append_message, read_log, scratch
+
+    path = scratch(v.spark, "appended")
+    append_log(v.log, path)
+    append_message(v.spark, path, "view", 1, T0, "k", "one more")
+    return read_log(v.spark, path)
+
+
+_CONFIGS = [("view", None, "log.retention.secs=1d2h\nlog.segment.bytes=512m"), ("view", 1, "log.segment.bytes=1k # small\nretention.segments.count=5"), ("click", None, "log.segment.bytes=1"), ("error", 2, "log.cleaner.min.cleanable.ratio=0.25")]
+_SETTINGS = 'CAST(CASE WHEN topic = \'view\' THEN 93600 ELSE 0 END AS BIGINT) AS retention_secs, CAST(CASE WHEN topic = \'view\' AND "partition" = 1 THEN {small} WHEN topic = \'view\' THEN 536870912 ELSE 1073741824 END AS BIGINT) AS segment_bytes, CAST(CASE WHEN topic = \'view\' AND "partition" = 1 THEN 5 ELSE 0 END AS BIGINT) AS retention_segments, CASE WHEN topic = \'error\' AND "partition" = 2 THEN 0.25 ELSE 0.5 END::DOUBLE AS min_cleanable_ratio, CASE WHEN topic = \'click\' THEN \'1 is less than 64\' END AS fault'
+
+
+def _configs(v: Views, changed: str | None = None) -> DataFrame:
+    rows = [(t, p, changed if changed and p == 1 else text) for t, p, text in _CONFIGS]
+    return v.spark.createDataFrame(rows, "topic string, partition int, text string")
+
+
+@query(f'SELECT topic, "partition", {_SETTINGS.format(small=1024)} FROM parts')
+def effective_configs(v: Views) -> DataFrame:
+    from ..operators.config import effective_configs as settings
+
+    return settings(v.partitions, _configs(v)).select(*TP, "retention_secs", "segment_bytes", "retention_segments", "min_cleanable_ratio", "fault")
+
+
+@query(f'SELECT topic, "partition", {_SETTINGS.format(small=2048)} FROM parts')
+def W15_reload_config(v: Views) -> DataFrame:
+    from ..operators.config import effective_configs as settings
+    from ..operators.config import reload_config
+
+    changed = _configs(v, "log.segment.bytes=2k\nretention.segments.count=5")
+    return reload_config(settings(v.partitions, _configs(v)), changed, "view", 1).select(*TP, "retention_secs", "segment_bytes", "retention_segments", "min_cleanable_ratio", "fault")
+
+
+@query(f"SELECT {MSG} FROM log WHERE NOT (topic = 'view' AND \"partition\" = 2)")
+def W16_reset_partition(v: Views) -> DataFrame:
+    from ..sources.store import append_log, read_log, reset_partition, scratch
+
+    path = scratch(v.spark, "reset")
+    append_log(v.log, path)
+    reset_partition(v.spark, path, "view", 2)
+    return read_log(v.spark, path)
+
+
+@query(with_cte(f"{_BUNDLES}, idx AS (SELECT *, bytes AS size, ROW_NUMBER() OVER (PARTITION BY {TPQ}, segment_base ORDER BY bundle_base) AS rn, CAST(sum(bytes) OVER (PARTITION BY {TPQ}, segment_base ORDER BY bundle_base) - bytes AS BIGINT) AS \"offset\" FROM b), {_walk('idx', TPQ + ', segment_base', '1000000000', '> 300')}", f'SELECT {TPQ}, segment_base, bundle_base - segment_base AS rel_seq, "offset" FROM idx JOIN (SELECT {TPQ}, segment_base, batch, min(rn) AS rn FROM walk GROUP BY ALL) USING ({TPQ}, segment_base, rn)'))
 def W6_sparse_index(v: Views) -> DataFrame:
     return W.sparse_index(_bundles(v), 300)
 
@@ -627,9 +697,14 @@ def W10_partition_mismatches(v: Views) -> DataFrame:
     return W.partition_mismatches(v.partitions, v.partitions.where("topic <> 'view' or partition < 2"))
 
 
-@query()
+_MIRROR = 'sized AS (SELECT topic, "partition", seq, seq <> lag(seq, 1, h) OVER (PARTITION BY topic, "partition" ORDER BY seq) + 1 AS gap, CAST(strlen(content) + coalesce(strlen(key), 0) AS BIGINT) AS size, ROW_NUMBER() OVER (PARTITION BY topic, "partition" ORDER BY seq) AS rn FROM messy JOIN (SELECT topic, "partition", max(seq) AS h FROM dest GROUP BY ALL) USING (topic, "partition") WHERE seq > h)'
+
+
+@query(with_cte(f"{_DEST}, {_MIRROR}, {_walk('sized', TPQ, '20', '>= 400')}", f"SELECT {TPQ}, batch, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS messages, CAST(sum(size) AS BIGINT) AS bytes, bool_or(gap) AS sparse FROM walk JOIN sized USING ({TPQ}, rn, size) GROUP BY ALL"))
 def W10_mirror_bundles(v: Views) -> DataFrame:
-    return W.mirror_bundles(v.messy)
+    there = _destination(v)
+    marks = S.watermarks(there)
+    return W.mirror_bundles(W.mirror_delta(v.messy, there).join(marks, TP, "left_semi"), marks, 20, 400)
 
 
 @query('SELECT topic, "partition", batch, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS messages, coalesce(max(CAST(seq <> prev + 1 AS INT)), 0) = 1 AS sparse FROM (SELECT *, (ROW_NUMBER() OVER w - 1) // 128 AS batch, lag(seq) OVER w AS prev FROM messy WINDOW w AS (PARTITION BY topic, "partition" ORDER BY seq)) GROUP BY topic, "partition", batch')
@@ -645,10 +720,41 @@ def W12_stdout_lines(v: Views) -> DataFrame:
 # --- streaming in the form of a batch
 
 
-@query(with_cte(SOURCES, 'SELECT topic, "partition", coalesce(greatest(start_seq, max_seq + 1), start_seq) AS next_seq, max_seq IS NULL OR max_seq = high_water_mark AS drained FROM src LEFT JOIN (SELECT topic, "partition", max(seq) AS max_seq FROM messy JOIN src USING (topic, "partition") WHERE seq >= start_seq AND seq <= 70 GROUP BY ALL) USING (topic, "partition") LEFT JOIN marks USING (topic, "partition")'))
+@query(with_cte(SOURCES, 'SELECT topic, "partition", coalesce(greatest(start_seq, max_seq + 1), start_seq) AS next_seq, max_seq IS NULL OR max_seq = high_water_mark AS drained FROM src LEFT JOIN (SELECT topic, "partition", max(seq) AS max_seq FROM messy JOIN src USING (topic, "partition") JOIN marks USING (topic, "partition") WHERE seq >= start_seq AND ("partition" % 2 = 0 OR 10 * seq <= 7 * high_water_mark) GROUP BY ALL) USING (topic, "partition") LEFT JOIN marks USING (topic, "partition")'))
 def T6_T8_cursor(v: Views) -> DataFrame:
+    """Even partitions are read to their end, odd ones to seven tenths."""
     sources = _sources(v)
-    return S.next_cursor(S.consume(v.messy.where("seq <= 70"), sources), sources, v.marks)
+    read = v.messy.join(v.marks, TP).where("partition % 2 = 0 or 10 * seq <= 7 * high_water_mark").drop("first_available", "high_water_mark")
+    return S.next_cursor(S.consume(read, sources), sources, v.marks)
+
+
+_POLLS = '''polls AS (SELECT event_id AS id, event_type AS topic, CAST(user_id % 4 AS INT) AS "partition", event_id % 90 + 1 AS from_seq, epoch_us(ts) // 1000 AS at_ms, CAST(event_id % 5 * 86400000 AS BIGINT) AS max_wait_ms,
+    CASE WHEN event_id % 3 <> 0 THEN CAST(event_id % 4000 AS BIGINT) END AS min_bytes, CASE WHEN event_id % 3 = 0 THEN event_id % 120 END AS above_mark FROM events WHERE event_id % 20 = 0),
+ r AS (SELECT topic, "partition", seq, ts_ms, segment_base, sum(strlen(content) + coalesce(strlen(key), 0) + 8) OVER (PARTITION BY topic, "partition" ORDER BY seq) AS ends, strlen(content) + coalesce(strlen(key), 0) + 8 AS size FROM messy),
+ f AS (SELECT p.*, arg_min(r.segment_base, r.seq) AS seg, arg_min(r.ends - r.size, r.seq) AS base FROM polls p LEFT JOIN r ON r.topic = p.topic AND r."partition" = p."partition" AND r.seq >= p.from_seq GROUP BY ALL),
+ a AS (SELECT f.id, min(r.seq) FILTER (min_bytes IS NOT NULL AND r.seq >= from_seq AND r.ends - base >= greatest(min_bytes, 1)) AS b, min(r.seq) FILTER (min_bytes IS NOT NULL AND r.seq >= from_seq AND r.segment_base > seg) AS s, min(r.seq) FILTER (r.seq > above_mark) AS m
+   FROM f LEFT JOIN r ON r.topic = f.topic AND r."partition" = f."partition" GROUP BY ALL),
+ c AS (SELECT polls.*, CASE WHEN above_mark IS NOT NULL THEN m WHEN s IS NOT NULL AND (b IS NULL OR s < b) THEN s ELSE b END AS w, CASE WHEN above_mark IS NOT NULL THEN 'mark' WHEN s IS NOT NULL AND (b IS NULL OR s < b) THEN 'segment' ELSE 'bytes' END AS why FROM polls JOIN a USING (id)),
+ d AS (SELECT c.*, r.ts_ms IS NULL OR greatest(at_ms, r.ts_ms) > at_ms + max_wait_ms AS late, greatest(at_ms, r.ts_ms) AS t FROM c LEFT JOIN r ON r.topic = c.topic AND r."partition" = c."partition" AND r.seq = w)'''
+
+
+@query(with_cte(_POLLS, "SELECT id, CASE WHEN NOT late THEN w END AS woken_seq, CASE WHEN late THEN at_ms + max_wait_ms ELSE t END AS woken_ms, CASE WHEN late THEN 'timeout' ELSE why END AS reason FROM d"))
+def T2_T3_T4_T5_polls(v: Views) -> DataFrame:
+    """A request for every twentieth event, of a consumer or a replica, against the whole log."""
+    from ..operators.wait import answer_polls
+
+    e = F.col("event_id")
+    requests = v.table("events").where(e % 20 == 0).select(
+        e.alias("id"),
+        F.col("event_type").alias("topic"),
+        (F.col("user_id") % 4).cast("int").alias("partition"),
+        (e % 90 + 1).alias("from_seq"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"),
+        (e % 5 * 86_400_000).cast("long").alias("max_wait_ms"),
+        F.when(e % 3 != 0, (e % 4000).cast("long")).alias("min_bytes"),
+        F.when(e % 3 == 0, e % 120).alias("above_mark"),
+    )
+    return answer_polls(requests, v.messy)
 
 
 @query(f"SELECT topic, \"partition\", coalesce(min(CASE WHEN ts_ms >= {T0 + 10 * DAY} THEN seq END), max(seq) + 1) AS seq FROM messy GROUP BY ALL")
@@ -702,16 +808,23 @@ def C6_update_kind(v: Views) -> DataFrame:
     return v.partitions.select(*TP, C.update_kind(p == 1, p < 3).alias("kind"))
 
 
-@query("SELECT topic, \"partition\", list_sort(list_distinct(list_filter(CASE WHEN \"partition\" = 0 THEN [3, 1, 3] ELSE [\"partition\" + 5, 2] END, lambda x: x > 0))) AS replicas, \"partition\" + 1 AS rf FROM parts")
+@query(
+    """SELECT topic, "partition", CASE "partition" WHEN 0 THEN [1, 3] WHEN 1 THEN [3, 4, 5, 6, 9] WHEN 2 THEN [6, 7, 8, 9, 10, 11, 12, 65535] WHEN 3 THEN CAST([] AS INT[]) ELSE [2] END AS replicas, "partition" + 1 AS rf FROM parts"""
+)
 def C7_C12_decode_topology(v: Views) -> DataFrame:
-    ids = F.when(F.col("partition") == 0, "3,1,,3,0").otherwise(F.concat((F.col("partition") + 5).cast("string"), F.lit(",2x")))
-    kv = v.partitions.select(F.concat_ws("/", F.lit("cluster"), "topic", F.col("partition").cast("string")).alias("key"), F.to_json(F.struct(ids.alias("replicas"), (F.col("partition") + 1).alias("rf"))).alias("value"))
+    """Lists in base64 with empty entries, entries that are no id, repeats and more ids than the cap, and a text that isn't base64."""
+    p = F.col("partition")
+    ids = F.when(p == 0, "3,1,,3,0").when(p == 1, "9,9,9,3,4,5,6,9,1,2").when(p == 2, "12,11,10,9,8,7,6,65535,1,2,3,70000").otherwise("2x,2,-1, 4")
+    packed = F.when(p == 3, "?no base64?").otherwise(F.base64(ids.cast("binary")))
+    kv = v.partitions.select(F.concat_ws("/", F.lit("cluster"), "topic", p.cast("string")).alias("key"), F.to_json(F.struct(packed.alias("replicas"), (p + 1).alias("rf"))).alias("value"))
     return C.decode_topology(kv)
 
 
-@query("SELECT topic, list_sort(list(\"partition\"))[1:8] AS ids FROM parts GROUP BY ALL")
+@query('SELECT topic, "partition", CASE WHEN "partition" = 0 THEN [2, 2, 3, 4, 5, 6, 7, 8] ELSE list_sort(["partition", 9, 1]) END AS ids FROM parts')
 def C13_isr_list(v: Views) -> DataFrame:
-    return v.partitions.groupBy("topic").agg(C.isr_list(F.sort_array(F.collect_list("partition"))).alias("ids"))
+    p = F.col("partition")
+    ids = F.when(p == 0, F.array(*map(F.lit, (8, 7, 6, 5, 4, 3, 2, 2, 1, 9)))).otherwise(F.array(p, F.lit(9), F.lit(1)))
+    return v.partitions.select(*TP, C.isr_list(ids).alias("ids"))
 
 
 @query('SELECT topic, "partition", CASE WHEN leader < 3 THEN leader END AS leader FROM leaders')
@@ -768,9 +881,31 @@ def X10_dotnotation(v: Views) -> DataFrame:
     return v.table("orders").select((F.col("o_orderkey") * 977).alias("n")).select("n", X.dotnotation_repr(F.col("n")).alias("dotted"))
 
 
-@query()
+_TRIMMED = "regexp_replace(regexp_replace(printf('%d.%03d', (us + 500) // 1000000, (us + 500) // 1000 % 1000), '0+$', ''), '\\.$', '') || 's'"  # half a millisecond rounds up
+
+
+@query(
+    f"""SELECT us, CASE WHEN us < 1000 THEN us || 'us' WHEN us < 60000000 THEN {_TRIMMED} WHEN us < 3600000000 THEN (us // 60000000) || 'm' || CASE WHEN us // 1000000 % 60 > 0 THEN (us // 1000000 % 60) || 's' ELSE '' END
+    ELSE (us // 3600000000) || 'h' || CASE WHEN us // 60000000 % 60 > 0 THEN (us // 60000000 % 60) || 'm' ELSE '' END END AS repr
+    FROM (SELECT o_orderkey * o_orderkey * 1001 AS us FROM orders UNION ALL SELECT unnest([0, 999, 1500, 59999000, 60000000, 125000000, 130000000, 5400000000, 3600000000]))"""
+)
 def X11_duration_repr(v: Views) -> DataFrame:
-    return v.table("orders").select((F.col("o_orderkey") * F.col("o_orderkey") * 1001).alias("us")).select("us", X.duration_repr(F.col("us")).alias("repr"))
+    known = v.spark.createDataFrame([(x,) for x in (0, 999, 1500, 59999000, 60000000, 125000000, 130000000, 5400000000, 3600000000)], "us long")
+    rows = v.table("orders").select((F.col("o_orderkey") * F.col("o_orderkey") * 1001).alias("us")).unionByName(known)
+    return rows.select("us", X.duration_repr(F.col("us")).alias("repr"))
+
+
+@query("SELECT event_id, CAST((hour(ts) + 24 - 7) % 24 AS INT) AS ago, CAST((hour(ts) + 5) % 24 AS INT) AS later FROM events")
+def X7_hours(v: Views) -> DataFrame:
+    hour = F.hour(F.col("ts").cast("timestamp"))
+    return v.table("events").select("event_id", X.hours_ago(hour, 7).alias("ago"), X.hours_later(hour, 5).alias("later"))
+
+
+@query("SELECT t, CASE WHEN regexp_full_match(t, '[-+]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][-+]?[0-9]+)?') THEN TRY_CAST(t AS DOUBLE) END AS d FROM (SELECT unnest(['1', '-2.5', '1e3', '.5', '7.', 'x', '', '1e', '1.2.3', ' 1', 'nan', '+4']) AS t UNION ALL SELECT CAST(o_totalprice AS VARCHAR) FROM orders)")
+def X15_parse_double(v: Views) -> DataFrame:
+    rows = v.spark.createDataFrame([(t,) for t in ("1", "-2.5", "1e3", ".5", "7.", "x", "", "1e", "1.2.3", " 1", "nan", "+4")], "t string")
+    rows = rows.unionByName(v.table("orders").select(F.col("o_totalprice").cast("string").alias("t")))
+    return rows.select("t", X.parse_double(F.col("t")).alias("d"))
 
 
 @query("SELECT p_partkey, contains(p_name, 'a') AS has, CAST(instr(p_type, ' ') AS INT) AS at, starts_with(p_name, 'P') AS starts, p_type LIKE '%L' AS ends, lower(p_brand) = lower('BRAND#12') AS same, trim('  ' || p_name || ' ') AS trimmed, regexp_full_match(p_name, '[0-9]+') AS digits, split_part(p_brand, '#', 1) AS before, CASE WHEN contains(p_brand, '#') THEN substr(p_brand, instr(p_brand, '#') + 1) ELSE '' END AS after FROM part")
@@ -799,7 +934,11 @@ def X17_base64(v: Views) -> DataFrame:
     return v.table("events").select("event_id", b.alias("b"), F.unbase64(b).cast("string").alias("back"))
 
 
-@query()
+_BYTES = "list_transform(range(strlen(props)), lambda i: CAST(ord(props[i + 1]) AS {kind}))"  # props are ASCII
+_CRC = "list_reduce({bytes}, lambda h, b: list_reduce(list_prepend(xor(h, b), range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), CAST(4294967295 AS BIGINT))"
+
+
+@query(f"SELECT event_id, xor({_CRC.format(bytes=_BYTES.format(kind='BIGINT'))}, 4294967295) AS crc FROM events")
 def X18_crc32(v: Views) -> DataFrame:
     return v.table("events").select("event_id", F.crc32(F.col("props").cast("binary")).alias("crc"))
 
@@ -871,11 +1010,11 @@ def X1_time_window(v: Views) -> DataFrame:
     return v.spark.createDataFrame([(s, *parse_time_window(s, T0 // 1000)) for s in specs], "spec string, lo long, hi long")
 
 
-@query("SELECT spec, CAST(n AS BIGINT) AS n FROM (VALUES ('1d+2h', 93600), ('1w,1d', 691200), ('1g', 1073741824), ('1m+1k', 1049600)) x(spec, n)")
+@query("SELECT spec, CAST(n AS BIGINT) AS n FROM (VALUES ('1d+2h', 93600), ('1w,1d', 691200), ('1d2h', 93600), ('2weeks3days', 1468800), ('1g', 1073741824), ('1m+1k', 1049600), ('1g512m', 1610612736), ('2megabytes', 2097152), ('3gbs', 3221225472)) x(spec, n)")
 def X3_X4_durations_and_sizes(v: Views) -> DataFrame:
     from ..functions.parsers import parse_duration, parse_size
 
-    return v.spark.createDataFrame([*((s, parse_duration(s)) for s in ("1d+2h", "1w,1d")), *((s, parse_size(s)) for s in ("1g", "1m+1k"))], "spec string, n long")
+    return v.spark.createDataFrame([*((s, parse_duration(s)) for s in ("1d+2h", "1w,1d", "1d2h", "2weeks3days")), *((s, parse_size(s)) for s in ("1g", "1m+1k", "1g512m", "2megabytes", "3gbs"))], "spec string, n long")
 
 
 # --- the binary format
@@ -902,6 +1041,14 @@ def A20_verify_files(v: Views) -> DataFrame:
     return verify_segments(v.spark, path).select(*TP, "base_seq", "last_seq", "messages")
 
 
+_FNV = "list_reduce({bytes}, lambda h, b: xor((h * CAST(1099511628211 AS HUGEINT)) % CAST(18446744073709551616 AS HUGEINT), b), CAST(14695981039346656037 AS HUGEINT))"
+
+
+@query(f"SELECT event_id, CAST(CASE WHEN h >= CAST(9223372036854775808 AS HUGEINT) THEN h - CAST(18446744073709551616 AS HUGEINT) ELSE h END AS BIGINT) AS fnv FROM (SELECT event_id, {_FNV.format(bytes=_BYTES.format(kind='HUGEINT'))} AS h FROM events)")
+def X19_fnv1(v: Views) -> DataFrame:
+    return v.table("events").select("event_id", X.fnv1_64(F.col("props").cast("binary")).alias("fnv"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases of partition 0 from a position on, in a time window, with a substring, limited: one scan with pushed filters."""
     rows = S.consume_from(Views(spark, sf_dir).log, "purchase", 0, 10, time_range=(T0, T0 + 20 * DAY), contains="k", limit=100)

@@ -1,12 +1,12 @@
 """Log and metadata views over the generated tables, and the same as SQL.
 
 They stand in for a log's tables in the registered queries: topic = event type, partition = user modulo 4,
-seq = place in the partition, key = user, content = props.
+seq = place in the partition, key = user, content = props. The log is appended to a store once a session and read from there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import TP
@@ -47,9 +47,13 @@ latency AS (SELECT event_type AS topic, CAST(event_id * 37 % 600 AS INT) AS late
 """
 
 
+NUMBERED = "topic string, partition int, ts_ms long, key string, content string, event_id long, user_id long, seq long"
+_stores: dict[tuple, str] = {}
+
+
 def sql(query: str) -> str:
     """A query over the views."""
-    return f"WITH {SQL.strip()}\n{query}"
+    return f"WITH RECURSIVE {SQL.strip()}\n{query}"
 
 
 class Views:
@@ -61,19 +65,34 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    @property
-    def numbered(self) -> DataFrame:
-        w = Window.partitionBy("event_type", F.col("user_id") % 4).orderBy("event_id")
-        return self.table("events").select(
+    def _append(self, path: str) -> None:
+        from ..operators.append import assign_sequences
+        from ..schemas import PARTITIONS
+        from ..sources.store import append_log
+
+        arrived = self.table("events").select(
             F.col("event_type").alias("topic"),
             (F.col("user_id") % 4).cast("int").alias("partition"),
-            F.row_number().over(w).cast("long").alias("seq"),
             F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
             F.col("user_id").cast("string").alias("key"),
             F.col("props").alias("content"),
             "event_id",
             "user_id",
         )
+        append_log(assign_sequences(arrived, self.spark.createDataFrame([], PARTITIONS), "event_id"), path)
+
+    @property
+    def numbered(self) -> DataFrame:
+        """The stored log, with the events' own columns. It is written again if the events' file changes or the store was cleared."""
+        from ..sources.store import path_status, read_log, scratch
+
+        changed = path_status(self.spark, f"{self.sf_dir}/events.parquet")
+        name = (self.spark.sparkContext.applicationId, self.sf_dir, changed)
+        if name not in _stores or path_status(self.spark, f"{_stores[name]}/_SUCCESS") is None:
+            path = scratch(self.spark, "log")
+            self._append(path)
+            _stores[name] = path
+        return read_log(self.spark, _stores[name], NUMBERED).select("topic", "partition", "seq", "ts_ms", "key", "content", "event_id", "user_id")
 
     @property
     def log(self) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,13 @@ from ..schemas import PARTITIONS, TOPICS, TP, InvalidRequest
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """URI of ``spark.checkpoint.dir``, which all machines share; a folder of this one only where it is unset."""
+    """URI of ``spark.checkpoint.dir``, which all machines share. Where it is unset, a session on one machine gets a folder of its own and one on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not at.isDefined():
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise InvalidRequest("spark.checkpoint.dir names no folder that all machines share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loamlog-"))
             at = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = at.get()
@@ -35,8 +38,35 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.repartitionByRange(*TP, "seq").sortWithinPartitions(*TP, "seq").write.mode("append").partitionBy(*TP).parquet(path)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
+def path_status(spark: SparkSession, path: str) -> int | None:
+    """When a file was changed, in ms; null where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(at).getModificationTime() if fs.exists(at) else None
+
+
+def append_message(spark: SparkSession, path: str, topic: str, partition: int, ts_ms: int, key: str | None, content: str) -> int:
+    """Append one message to a stored log; returns its sequence number, the next one of its partition."""
+    log = read_log(spark, path)
+    high = log.where((F.col("topic") == topic) & (F.col("partition") == partition)).agg(F.max("seq")).first()[0]
+    row = spark.createDataFrame([((high or 0) + 1, ts_ms, key, content, topic, partition)], "seq long, ts_ms long, key string, content string, topic string, partition int")
+    append_log(row, path)
+    return (high or 0) + 1
+
+
+def reset_partition(spark: SparkSession, path: str, topic: str, partition: int) -> bool:
+    """Delete the files of one partition; false if it has none. The partition itself stays known."""
+    jvm = spark._jvm
+    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(topic)
+    at = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/topic={name}/partition={partition}")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A stored log. With its ``schema`` known, as DDL, no file is read for it and topics that look like numbers stay texts."""
+    rows = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    if schema:
+        return rows
     return rows.select(F.col("topic").cast("string").alias("topic"), F.col("partition").cast("int").alias("partition"), *(c for c in rows.columns if c not in TP))
 
 

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from loamlog.functions import text as functions
 from loamlog.operators import append, cluster, maintenance, metrics, scan
 from loamlog.schemas import InvalidRequest
 
@@ -83,10 +84,10 @@ def test_clamp(spark):
     assert [r[0] for r in rows.select(scan.clamp_seq(F.col("s"), F.lit(10), F.lit(20))).collect()] == [10, 15, 20, 21, 21]
 
 
-def greedy(sizes, most, limit):
+def greedy(sizes, most, limit, reached):
     out, batch, n, total = [], 0, 0, 0
     for s in sizes:
-        if n and (n >= most or total > limit):
+        if n and (n >= most or total > limit or reached and total == limit):
             batch, n, total = batch + 1, 0, 0
         n, total = n + 1, total + s
         out.append(batch)
@@ -94,15 +95,61 @@ def greedy(sizes, most, limit):
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.integers(0, 50), min_size=1, max_size=60), st.integers(1, 6), st.integers(1, 90))
-def test_greedy_batches(spark, sizes, most, limit):
+@given(st.lists(st.integers(0, 50), min_size=1, max_size=60), st.integers(1, 6), st.integers(1, 90), st.booleans())
+def test_greedy_batches(spark, sizes, most, limit, reached):
     df = spark.createDataFrame([("t", 0, i, s) for i, s in enumerate(sizes)], "topic string, partition int, seq long, size long")
-    assert [r.batch for r in append.greedy_batches(df, most, limit).orderBy("seq").collect()] == greedy(sizes, most, limit)
+    assert [r.batch for r in append.greedy_batches(df, most, limit, reached=reached).orderBy("seq").collect()] == greedy(sizes, most, limit, reached)
 
 
-def test_batches_break_on_gaps(spark):
-    df = spark.createDataFrame([("t", 0, s, 1) for s in (1, 2, 5, 6, 9)], "topic string, partition int, seq long, size long")
-    assert [r.batch for r in append.greedy_batches(df, 10, 10, break_on_gap=True).orderBy("seq").collect()] == [0, 0, 1, 1, 2]
+def test_a_batch_ends_where_its_bytes_reach_the_limit(spark):
+    df = spark.createDataFrame([("t", 0, i, 10) for i in range(6)], "topic string, partition int, seq long, size long")
+    assert [r.batch for r in append.greedy_batches(df, 128, 20).orderBy("seq").collect()] == [0, 0, 1, 1, 2, 2]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert [r.batch for r in append.greedy_batches(df, 3, 1000).orderBy("seq").collect()] == [0, 0, 0, 1, 1, 1]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_gap_makes_a_mirrored_bundle_sparse(spark):
+    df = log(spark, [(s, 0, "k", "xyz") for s in (4, 5, 6, 8, 9, 10, 11)])
+    marks = spark.createDataFrame([("t", 0, 3)], "topic string, partition int, high_water_mark long")
+    rows = append.mirror_bundles(df, marks, 3, 1 << 20).orderBy("batch").collect()
+    assert [(r.first_seq, r.last_seq, r.messages, r.bytes, r.sparse) for r in rows] == [(4, 6, 3, 12, False), (8, 10, 3, 12, True), (11, 11, 1, 4, False)]
+    assert append.mirror_bundles(df, None, 3, 1 << 20).orderBy("batch").first().sparse
+
+
+@pytest.mark.parametrize("bound", [1, 2, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 65, 75, 85, 95, 100, 110, 120, 130, 140, 150, 200, 250, 300, 350, 400, 450, 500])
+def test_each_bound(spark, bound):
+    assert [r[0] for r in spark.range(1).select(F.explode(F.array(metrics.bucket(F.lit(bound)), metrics.bucket(F.lit(bound - 0.5))))).collect()] == [bound, bound]
+    assert len(metrics.BOUNDS) == 30
+
+
+def test_rolls_are_due(spark):
+    rows = spark.createDataFrame([(0, 99, 0), (10, 0, 0), (101, 0, 0), (10, 51, 0), (10, 0, 900)], "size long, index long, created long")
+    due = append.roll_due(F.col("size"), F.col("index"), F.col("created"), 1000, 100, 50, F.lit(999))
+    assert [r[0] for r in rows.select(due).collect()] == [False, True, True, True, False]
+    assert [r[0] for r in rows.select(append.roll_due(F.col("size"), F.col("index"), F.col("created"), 1000, 100, 50, F.lit(0), max_age_secs=99)).collect()] == [False, True, True, True, True]
+    found = {r[0] for r in spark.range(200).select(append.roll_jitter(10_000, F.col("id"))).collect()}
+    assert min(found) == 3600 and max(found) < 10_000 and spark.range(1).select(append.roll_jitter(0, F.col("id"))).first()[0] == 604_800
+
+
+@pytest.mark.parametrize("text", ["a\n", "12\n"])
+def test_a_final_line_feed_counts(spark, text):
+    row = spark.range(1).select(functions.is_valid_topic_name(F.lit(text)).alias("a"), functions.all_digits(F.lit(text)).alias("b"), functions.parse_integer(F.lit(text)).alias("c"), functions.parse_double(F.lit(text)).alias("d")).first()
+    assert tuple(row) == (False, False, None, None)
+
+
+@pytest.mark.parametrize(("us", "want"), [(999, "999us"), (1500, "0.002s"), (1_500_000, "1.5s"), (125_000_000, "2m5s"), (120_000_000, "2m"), (5_400_000_000, "1h30m"), (3_600_000_000, "1h")])
+def test_durations(spark, us, want):
+    assert spark.range(1).select(functions.duration_repr(F.lit(us))).first()[0] == want
+
+
+def test_the_stored_log_is_pruned_and_filtered(spark):
+    from loamlog.plans.views import Views
+
+    plan = scan.consume_from(Views(spark, "/root/testdata/sf0.001").log, "view", 1, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(seq,50)" in plan and "(partition" in plan.split("PartitionFilters")[1].split("PushedFilters")[0] and "Window" not in plan and "Exchange" not in plan
 
 
 def test_roll_keeps_the_crossing_bundle(spark):

@@ -34,17 +34,17 @@ def test_dates_without_dots_and_zones():
     assert parsers.parse_time_window("2018.09.15", NOW, zone="Europe/Athens")[0] == DAY - 3 * 3600
 
 
-@pytest.mark.parametrize(("spec", "want"), [("1d+2h", 93600), ("90", 90), ("1w,1d", 691200), ("1month", 2592000)])
+@pytest.mark.parametrize(("spec", "want"), [("1d+2h", 93600), ("90", 90), ("1w,1d", 691200), ("1month", 2592000), ("1d2h", 93600), ("1d,", 86400), ("2weeks3days", 1468800)])
 def test_duration(spec, want):
     assert parsers.parse_duration(spec) == want
 
 
-@pytest.mark.parametrize(("spec", "want"), [("1g", 1 << 30), ("512k", 512 << 10), ("1m+1k", 1049600)])
+@pytest.mark.parametrize(("spec", "want"), [("1g", 1 << 30), ("512k", 512 << 10), ("1m+1k", 1049600), ("1g512m", 1610612736), ("2megabytes", 2 << 20), ("3gbs", 3 << 30)])
 def test_size(spec, want):
     assert parsers.parse_size(spec) == want
 
 
-@pytest.mark.parametrize("spec", ["5m", "", "1d,", "x"])
+@pytest.mark.parametrize("spec", ["5m", "", "1d,,", "1d-", ",1d", "1d 2x", "x"])
 def test_bad_duration(spec):
     with pytest.raises(InvalidRequest):
         parsers.parse_duration(spec)
