@@ -18,6 +18,7 @@ from ..schemas import MAX_SEQ, CorruptBundle
 
 HAVE_KEY, SAME_TS, NEXT_SEQ = 1, 2, 4
 SNAPPY = 1
+COMPRESS_MESSAGES, COMPRESS_BYTES = 512, 1024
 
 
 def varint(value: int) -> bytes:
@@ -53,12 +54,38 @@ class Message:
     content: bytes
 
 
+@dataclass(frozen=True)
+class Header:
+    """What stands before a bundle's messages; ``body`` is their place in the data that it was read from."""
+
+    codec: int
+    count: int
+    sparse: bool
+    first: int
+    last: int
+    body: int = 0
+
+    def frame(self, messages: bytes) -> bytes:
+        """The frame of a bundle with these encoded messages."""
+        out = bytearray([self.codec | (self.count << 2 if self.count <= 15 else 0) | (64 if self.sparse else 0)])
+        if self.count > 15:
+            out += varint(self.count)
+        if self.sparse:
+            out += struct.pack("<Q", self.first)
+            if self.count > 1:
+                out += varint(self.last - self.first - 1)
+        out += pa.compress(messages, codec="snappy", asbytes=True) if self.codec == SNAPPY else messages
+        return varint(len(out)) + bytes(out)
+
+
 def encode_bundle(messages: Sequence[Message], sparse: bool = False, snappy: bool | None = None) -> bytes:
-    """A frame of messages in order. ``snappy`` None: for more than 512 messages or 1024 bytes."""
+    """A frame of messages in order. ``snappy`` None: for more than 512 messages or 1024 bytes. A key has at most 255 bytes."""
     if not messages:
         raise ValueError("a bundle needs a message")
     count, body, ts = len(messages), bytearray(), None
     for i, m in enumerate(messages):
+        if len(m.key or b"") > 255:
+            raise CorruptBundle(f"a key of {len(m.key)} bytes is longer than 255")
         flags = (HAVE_KEY if m.key else 0) | (SAME_TS if m.ts_ms == ts else 0)
         inner = sparse and 0 < i < count - 1
         follows = inner and m.seq == messages[i - 1].seq + 1
@@ -73,21 +100,12 @@ def encode_bundle(messages: Sequence[Message], sparse: bool = False, snappy: boo
             body += m.key
         body += varint(len(m.content)) + m.content
     if snappy is None:
-        snappy = count > 512 or len(body) > 1024
-    head = bytearray([(SNAPPY if snappy else 0) | (count << 2 if count <= 15 else 0) | (64 if sparse else 0)])
-    if count > 15:
-        head += varint(count)
-    if sparse:
-        head += struct.pack("<Q", messages[0].seq)
-        if count > 1:
-            head += varint(messages[-1].seq - messages[0].seq - 1)
-    payload = pa.compress(bytes(body), codec="snappy", asbytes=True) if snappy else bytes(body)
-    bundle = bytes(head) + payload
-    return varint(len(bundle)) + bundle
+        snappy = count > COMPRESS_MESSAGES or len(body) > COMPRESS_BYTES
+    return Header(SNAPPY if snappy else 0, count, sparse, messages[0].seq, messages[-1].seq).frame(bytes(body))
 
 
-def decode_bundle(data: bytes, at: int, end: int, base: int) -> tuple[list[Message], int]:
-    """Messages of the bundle ``data[at:end]`` and the next sequence number; dense ones are numbered from ``base`` on."""
+def bundle_header(data: bytes, at: int, end: int, base: int) -> Header:
+    """Header of the bundle ``data[at:end]``; dense messages are numbered from ``base`` on."""
     if at >= end:
         raise CorruptBundle("an empty bundle")
     head = data[at]
@@ -112,13 +130,36 @@ def decode_bundle(data: bytes, at: int, end: int, base: int) -> tuple[list[Messa
             last = first + gap + 1
     if last > MAX_SEQ:
         raise CorruptBundle(f"sequence number {last} is too large")
+    return Header(codec, count, sparse, first, last, at)
+
+
+def frame_of(data: bytes, at: int, end: int, on_truncated: str) -> tuple[int, int] | None:
+    """Start and end of the bundle whose frame starts at ``at``; null or an error where it is cut off."""
+    try:
+        size, start = read_varint(data, at, end)
+    except CorruptBundle:
+        if on_truncated == "stop" and end - at < 5:
+            return None
+        raise
+    if start + size > end:
+        if on_truncated == "stop":
+            return None
+        raise CorruptBundle("the last bundle is cut off")
+    return start, start + size
+
+
+def decode_bundle(data: bytes, at: int, end: int, base: int) -> tuple[list[Message], int]:
+    """Messages of the bundle ``data[at:end]`` and the next sequence number; dense ones are numbered from ``base`` on."""
+    head = bundle_header(data, at, end, base)
+    codec, count, sparse, first, last, at = head.codec, head.count, head.sparse, head.first, head.last, head.body
+    data = data[:end]
     if codec == SNAPPY:
         try:
             size, _ = read_varint(data, at, end)
-            data = pa.decompress(data[at:end], decompressed_size=size, codec="snappy", asbytes=True)
+            data, at = pa.decompress(data[at:end], decompressed_size=size, codec="snappy", asbytes=True), 0
         except (pa.ArrowException, OSError) as e:
             raise CorruptBundle(str(e)) from e
-        at, end = 0, len(data)
+    end = len(data)
     out: list[Message] = []
     ts, seq = None, first - 1
     for i in range(count):
@@ -162,16 +203,9 @@ def decode_segment(data: bytes, base: int, on_truncated: str = "stop") -> Iterat
     """Bundles of a segment. A last bundle that is cut off ends it quietly (``stop``) or raises (``error``)."""
     at, end = 0, len(data)
     while at < end:
-        try:
-            size, start = read_varint(data, at, end)
-        except CorruptBundle:
-            if on_truncated == "stop" and end - at < 5:
-                return
-            raise
-        if start + size > end:
-            if on_truncated == "stop":
-                return
-            raise CorruptBundle("the last bundle is cut off")
-        messages, base = decode_bundle(data, start, start + size, base)
+        found = frame_of(data, at, end, on_truncated)
+        if found is None:
+            return
+        messages, base = decode_bundle(data, *found, base)
         yield messages
-        at = start + size
+        at = found[1]

@@ -11,14 +11,16 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 from ..schemas import LOG, TP, CorruptBundle, InvalidRequest
-from .encoding import Message, decode_segment, encode_bundle
+from .columnar import BATCH_BYTES, column_of, decode_bodies, encode_bundles, in_batches, joined, scan_bundles
 
 _SEALED = re.compile(r"(\d+)-(\d+)(?:_(\d+))?\.ilog")
 _ACTIVE = re.compile(r"(\d+)(?:_(\d+))?\.log")
@@ -69,36 +71,63 @@ class SegmentFile(InputPartition):
     base: int
     last: int | None
     sealed: bool
+    size: int = 0
 
     def __post_init__(self):
         super().__init__(None)
 
 
-def list_segments(path: str) -> list[SegmentFile]:
-    """Segment files of all topics; their partitions must be 0 to n-1."""
+def list_segments(path: str, topic: str | None = None, partition: int | None = None) -> list[SegmentFile]:
+    """Segment files of all topics, or of one or one of its partitions, of which only the folders are listed then; a topic's partitions must be 0 to n-1."""
     from pyarrow.fs import FileSelector, FileType
 
     fs, root = _fs(path)
     root = root.rstrip("/")
     prefix = path.rstrip("/")[: len(path.rstrip("/")) - len(root)] if path.rstrip("/").endswith(root) else "file://"
+
+    def entries(folder: str, kind) -> list:
+        return [e for e in fs.get_file_info(FileSelector(folder, allow_not_found=folder != root)) if e.type == kind and not e.base_name.startswith(".")]
+
     found: list[SegmentFile] = []
-    parts: dict[str, set[int]] = {}
-    for info in fs.get_file_info(FileSelector(root, recursive=True)):
-        names = info.path[len(root) :].strip("/").split("/")
-        if names[0].startswith(".") or len(names) != 3 or info.type != FileType.File or not names[1].isdigit():
-            continue
-        parts.setdefault(names[0], set()).add(int(names[1]))
-        name = parse_segment_name(names[2])
-        if name.kind in ("sealed", "active"):
-            found.append(SegmentFile(prefix + info.path, names[0], int(names[1]), name.base, name.last, name.kind == "sealed"))
-    for topic, ids in parts.items():
-        if ids != set(range(len(ids))):
-            raise InvalidRequest(f"partitions of {topic} aren't 0 to {len(ids) - 1}")
+    topics = [topic] if topic is not None else [e.base_name for e in entries(root, FileType.Directory)]
+    for name in topics:
+        ids = sorted(int(e.base_name) for e in entries(f"{root}/{name}", FileType.Directory) if e.base_name.isdigit())
+        if ids != list(range(len(ids))):
+            raise InvalidRequest(f"partitions of {name} aren't 0 to {len(ids) - 1}")
+        for i in ids if partition is None else [i for i in ids if i == partition]:
+            for e in entries(f"{root}/{name}/{i}", FileType.File):
+                n = parse_segment_name(e.base_name)
+                if n.kind in ("sealed", "active"):
+                    found.append(SegmentFile(prefix + e.path, name, i, n.base, n.last, n.kind == "sealed", e.size))
     return sorted(found, key=lambda s: (s.topic, s.partition, s.base))
 
 
+TASK_BYTES, FILE_COST = 64 << 20, 1 << 20  # files are read some at a time; opening one costs as much as so many bytes
+
+
+@dataclass
+class SegmentGroup(InputPartition):
+    files: list[SegmentFile]
+
+    def __post_init__(self):
+        super().__init__(None)
+
+
+def grouped(files: list[SegmentFile]) -> list[SegmentGroup]:
+    """Files in order, some to a task."""
+    out: list[list[SegmentFile]] = []
+    size = TASK_BYTES
+    for f in files:
+        if size + f.size + FILE_COST > TASK_BYTES:
+            out.append([])
+            size = 0
+        out[-1].append(f)
+        size += f.size + FILE_COST
+    return [SegmentGroup(g) for g in out]
+
+
 class SegmentReader(DataSourceReader):
-    """Reads each segment in a task; equality on topic and partition and ranges of seq prune files by name."""
+    """Reads some files a task. Equality on topic and partition and ranges of seq prune folders and files by name, and bundles by their headers."""
 
     def __init__(self, schema: StructType, options: dict):
         self.path, self.on_truncated = options["path"], options.get("on_truncated", "stop")
@@ -120,35 +149,42 @@ class SegmentReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[SegmentFile]:
-        files = [s for s in list_segments(self.path) if self.only.get("topic", s.topic) == s.topic and self.only.get("partition", s.partition) == s.partition]
-        return [s for s in files if (s.last is None or s.last >= self.low) and (self.high is None or s.base <= self.high)]
-
-    def read(self, segment: SegmentFile) -> Iterator[pa.RecordBatch]:
-        fs, at = _fs(segment.path)
-        with fs.open_input_file(at) as file:
-            data = file.read()
-        rows: list[tuple[Message, int]] = []
-        for bundle in decode_segment(data, segment.base, "error" if segment.sealed else self.on_truncated):
-            rows += [(m, bundle[0].seq) for m in bundle]
-            if len(rows) >= 10_000:
-                yield _batch(segment, rows)
-                rows = []
-        if rows:
-            yield _batch(segment, rows)
-
-
-def _batch(segment: SegmentFile, rows: list[tuple[Message, int]]) -> pa.RecordBatch:
-    n = len(rows)
+    def partitions(self) -> list[SegmentGroup]:
+        files = list_segments(self.path, self.only.get("topic"), self.only.get("partition"))
+        return grouped([s for s in files if (s.last is None or s.last >= self.low) and (self.high is None or s.base <= self.high)])
+
+    def read(self, group: SegmentGroup) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for i, segment in enumerate(group.files):
+            fs, at = _fs(segment.path)
+            with fs.open_input_file(at) as file:
+                data = file.read()
+            for head, body in scan_bundles(data, segment.base, "error" if segment.sealed else self.on_truncated, self.low, self.high):
+                held.append((i, head, body))
+                size += len(body)
+                if size >= BATCH_BYTES:
+                    yield _batch(group, held)
+                    held, size = [], 0
+        if held:
+            yield _batch(group, held)
+
+
+def _batch(group: SegmentGroup, held: list) -> pa.RecordBatch:
+    bundles = joined([(head, body) for _, head, body in held])
+    found = decode_bodies(bundles)
+    of = np.array([i for i, _, _ in held])[found["bundle"]]  # the file of each message
+    topics = pa.DictionaryArray.from_arrays(pa.array(of, pa.int32()), pa.array([f.topic for f in group.files])).cast(pa.string())
+    partition, base = (np.array([getattr(f, k) for f in group.files]) for k in ("partition", "base"))
+    first = np.array([h.first for h in bundles.headers], np.int64)
     columns = [
-        pa.array([segment.topic] * n),
-        pa.array([segment.partition] * n, pa.int32()),
-        pa.array([m.seq for m, _ in rows], pa.int64()),
-        pa.array([m.ts_ms for m, _ in rows], pa.int64()),
-        pa.array([m.key for m, _ in rows], pa.binary()),
-        pa.array([m.content for m, _ in rows], pa.binary()),
-        pa.array([segment.base] * n, pa.int64()),
-        pa.array([b for _, b in rows], pa.int64()),
+        topics,
+        pa.array(partition[of], pa.int32()),
+        pa.array(found["seq"]),
+        pa.array(found["ts_ms"]),
+        column_of(bundles.data, found["key_at"], found["key_size"], found["key_size"] == 0),
+        column_of(bundles.data, found["at"], found["size"]),
+        pa.array(base[of], pa.int64()),
+        pa.array(first[found["bundle"]]),
     ]
     return pa.RecordBatch.from_arrays(columns, names=LOG.names)
 
@@ -185,46 +221,73 @@ def write_segments(log: DataFrame, path: str, bundle_messages: int = 128, index_
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _fs(path)
-        held: list[Message] = []
-        at = {"key": None, "out": None, "offset": 0, "since": 0, "index": [], "next": 0, "final": ""}
-
-        def flush() -> None:
-            if held:
-                sparse = held[0].seq != at["next"] or held[-1].seq - held[0].seq + 1 != len(held)
-                frame = encode_bundle(held, sparse)
-                if at["since"] > index_interval or not at["index"]:
-                    at["index"].append((held[0].seq - at["key"][2], at["offset"]))
-                    at["since"] = 0
-                at["out"].write(frame)
-                at["offset"] += len(frame)
-                at["since"] += len(frame)
-                at["next"] = held[-1].seq + 1
-                held.clear()
+        at: dict = {"key": None, "out": None}
+        written = 0
 
         def close() -> None:
             if at["out"] is not None:
-                flush()
                 at["out"].close()
                 with fs.open_output_stream(f"{at['folder']}/{at['key'][2]}.index") as out:
                     out.write(b"".join(struct.pack("<II", *e) for e in at["index"]))
                 fs.move(at["final"] + ".cleaned", at["final"])
 
-        written = 0
+        def begin(key: tuple, row: dict) -> None:
+            nonlocal written
+            folder = f"{root.rstrip('/')}/{key[0]}/{key[1]}"
+            fs.create_dir(folder, recursive=True)
+            created = row["first_ts"] // 1000
+            name = f"{key[2]}_{created}.log" if key[2] == row["active"] else f"{key[2]}-{row['last_seq']}_{created}.ilog"
+            at.update(key=key, folder=folder, final=f"{folder}/{name}", offset=0, since=0, index=[], next=key[2])
+            at["out"] = fs.open_output_stream(at["final"] + ".cleaned")
+            written += 1
+
+        def put(part: pa.Table) -> None:
+            """Rows of whole bundles of one segment or several."""
+            part = part.combine_chunks()
+            seq, ts = part["seq"].to_numpy(), part["ts_ms"].to_numpy()
+            topics, segment = part["topic"].combine_chunks().dictionary_encode(), part["segment_base"].to_numpy()
+            codes = topics.indices.to_numpy().astype(np.int64)
+            edges = np.flatnonzero(np.concatenate([[True], (np.diff(codes) != 0) | (np.diff(part["partition"].to_numpy()) != 0) | (np.diff(segment) != 0)]))
+            ends = np.append(edges[1:], len(seq))
+            starts = np.concatenate([np.arange(a, e, bundle_messages) for a, e in zip(edges, ends, strict=True)])
+            expected = np.concatenate([[0], seq[:-1]])[starts] + 1
+            heads = np.isin(starts, edges)
+            keys = [(part["topic"][int(a)].as_py(), part["partition"][int(a)].as_py(), int(segment[a])) for a in edges]
+            expected[heads] = [at["next"] if k == at["key"] else k[2] for k in keys]
+            frames, _ = encode_bundles(seq, ts, part["key"].combine_chunks(), part["content"].combine_chunks(), starts, expected)
+            owner = iter(zip(edges.tolist(), keys, strict=True))
+            last_of = np.append(starts[1:], len(seq)) - 1
+            for a, e, frame, is_head in zip(starts.tolist(), last_of.tolist(), frames, heads.tolist(), strict=True):
+                if is_head:
+                    row, key = next(owner)
+                    if key != at["key"]:
+                        close()
+                        begin(key, {c: part[c][row].as_py() for c in ("first_ts", "last_seq", "active")})
+                if at["since"] > index_interval or not at["index"]:
+                    at["index"].append((int(seq[a]) - at["key"][2], at["offset"]))
+                    at["since"] = 0
+                at["out"].write(frame)
+                at["offset"] += len(frame)
+                at["since"] += len(frame)
+                at["next"] = int(seq[e]) + 1
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for r in batch.to_pylist():
-                key = (r["topic"], r["partition"], r["segment_base"])
-                if key != at["key"]:
-                    close()
-                    folder = f"{root.rstrip('/')}/{r['topic']}/{r['partition']}"
-                    fs.create_dir(folder, recursive=True)
-                    created = r["first_ts"] // 1000
-                    name = f"{key[2]}_{created}.log" if key[2] == r["active"] else f"{key[2]}-{r['last_seq']}_{created}.ilog"
-                    at.update(key=key, folder=folder, final=f"{folder}/{name}", offset=0, since=0, index=[], next=key[2])
-                    at["out"] = fs.open_output_stream(at["final"] + ".cleaned")
-                    written += 1
-                held.append(Message(r["seq"], r["ts_ms"], r["key"], r["content"]))
-                if len(held) >= bundle_messages:
-                    flush()
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            # the last segment may go on: its rows beyond whole bundles wait
+            key = [table[c][len(table) - 1].as_py() for c in (*TP, "segment_base")] if len(table) else None
+            if key is None:
+                held = []
+                continue
+            same = pc.and_(pc.and_(pc.equal(table["topic"], key[0]), pc.equal(table["partition"], key[1])), pc.equal(table["segment_base"], key[2])).to_numpy()
+            first = len(table) - int(np.argmin(same[::-1])) if not same.all() else 0
+            whole = first + (len(table) - first) // bundle_messages * bundle_messages
+            if whole:
+                put(table.slice(0, whole))
+            held = table.slice(whole).combine_chunks().to_batches()
+        if held and sum(map(len, held)):
+            put(pa.Table.from_batches(held))
         close()
         yield pa.RecordBatch.from_pydict({"files": pa.array([written], pa.int64())})
 
@@ -246,12 +309,12 @@ def verify_segments(spark: SparkSession, path: str) -> DataFrame:
                     data = file.read()
                 last, bundles, messages, error = None, 0, 0, None
                 try:
-                    for bundle in decode_segment(data, row["base_seq"], "error"):
-                        for m in bundle:
-                            if last is not None and m.seq <= last:
-                                raise CorruptBundle(f"{m.seq} follows {last}")
-                            last = m.seq
-                        bundles, messages = bundles + 1, messages + len(bundle)
+                    for found in in_batches(scan_bundles(data, row["base_seq"], "error")):
+                        seq = decode_bodies(found)["seq"]
+                        falls = np.flatnonzero(np.diff(seq, prepend=seq[0] - 1 if last is None else last) <= 0)
+                        if len(falls):
+                            raise CorruptBundle(f"{seq[falls[0]]} follows {seq[falls[0] - 1] if falls[0] else last}")
+                        last, bundles, messages = int(seq[-1]), bundles + len(found.headers), messages + len(seq)
                     if row["named_last"] is not None and last != row["named_last"]:
                         error = f"ends with {last}"
                 except CorruptBundle as e:
@@ -261,7 +324,7 @@ def verify_segments(spark: SparkSession, path: str) -> DataFrame:
             names = [*TP, "base_seq", "last_seq", "bundles", "messages", "error"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return listed.repartition(max(1, min(len(files), 1000))).mapInArrow(check, "topic string, partition int, base_seq long, last_seq long, bundles long, messages long, error string")
+    return listed.repartition(max(1, min(len(files) // 32 + 1, 1000))).mapInArrow(check, "topic string, partition int, base_seq long, last_seq long, bundles long, messages long, error string")
 
 
 def read_index(data: bytes) -> list[tuple[int, int]]:
