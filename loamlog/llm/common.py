@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,24 +12,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
+pa.set_memory_pool(pa.system_memory_pool())  # gives large buffers back at once
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Only where that is unset, as in local tests, a
-    folder of this machine is made and set.
+    ``spark.checkpoint.dir`` names it. Where that is unset, a session on one machine, as in tests, gets a
+    folder of its own, and one on a cluster an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         if at.isDefined():
             found = at.get()
+        elif not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
         else:
             found = tempfile.mkdtemp(prefix="loamlog-")
             spark.sparkContext.setCheckpointDir(found)
@@ -48,6 +53,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As :func:`stored`, dealt by a hash of a column: joins and groups by that column then move only what meets this table.
+
+    Its name in the session's catalog is made up; its files lie in the shared folder.
+    """
+    spark = df.sparkSession
+    n, table = shuffle_partitions(spark), f"loamlog_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, column).write.bucketBy(n, column).option("path", shared_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """As :func:`stored`, for steps of an iteration.
 
@@ -77,6 +93,24 @@ def release_memory() -> None:
         _TRIM(0)
 
 
+_kept: dict = {}
+_stage: int | None = None
+
+
+def kept_in_worker(key, make):
+    """A value that this process makes once and keeps for further tasks of the same stage; another stage's task starts without."""
+    global _stage
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage != _stage:
+        _kept.clear()
+        _stage = stage
+        release_memory()
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the column's values of a slice have about ``limit`` bytes; a larger value is alone."""
     sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
@@ -96,8 +130,10 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     """Concatenate ``flat[s:s+n]`` for each start and length."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    shift = np.repeat(starts - (ends - lengths), lengths)
-    return flat[shift + np.arange(total, dtype=shift.dtype)]
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -134,8 +170,12 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             if jumped.where("moved").isEmpty():
                 break
         done.append(point)
-        pa_, pb = point.select(F.col("node").alias("a"), F.col("to").alias("ra")), point.select(F.col("node").alias("b"), F.col("to").alias("rb"))
-        left = checkpointed(left.join(pa_, "a").join(pb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        # links that pointers follow are settled; without them a node that is the least neighbour of many has few left. Tables between the joins let Spark split what is still skewed
+        pb = point.select(F.col("node").alias("b"), F.col("to").alias("rb"))
+        open_ = checkpointed(left.join(up.select(F.col("node").alias("b"), "to"), "b").where("a <> to").select("a", "b"))
+        ends = checkpointed(open_.join(pb, "b").select("a", "rb"))
+        pa_ = point.select(F.col("node").alias("a"), F.col("to").alias("ra"))
+        left = checkpointed(ends.join(pa_, "a").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     else:
         raise RuntimeError("components did not converge")
     if not done:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,13 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, shuffle_partitions, stored
-from .induced import DEPTH, sorted_suffixes
+from .common import binary_array, bucketed, byte_slices, ragged_take, release_memory, shuffle_partitions, stored
+from .induced import DEPTH, MEMORY, cool, mapped, sorted_suffixes
 
 LENGTH = 200
 GRAM = 100
 SLICE = 128 << 10  # arrays of a slice stay in the cache
-SHARD = 8 << 20
 HOT = 1 << 18  # bytes of different contexts of one anchor, at most; more are split
 POSITION_BITS = 24
 
@@ -127,92 +126,164 @@ def _contexts(texts: DataFrame, length: int, gram: int, names_only: bool = False
     return texts.mapInArrow(run, ", ".join(f"{k} {kinds[CONTEXT[k]]}" for k in columns))
 
 
-def repeated_windows(contexts: list[bytes], windows: list[int], length: int, memory: int = 1 << 20) -> list[np.ndarray]:
-    """For each context, which of its windows occur at another place of these contexts too.
-
-    The suffix array of all of them: two windows are equal if they stand next to each other with a common prefix of ``length``.
-    Characters are bytes plus 2, 1 ends a context and 0 the whole; only a window has ``length`` bytes up to the end of its context.
-    """
-    sizes = np.array([len(c) + 1 for c in contexts])
-    text = np.zeros(int(sizes.sum()) + 1, np.uint16)
-    text[:-1] = np.frombuffer(b"\xff".join(contexts) + b"\xff", np.uint8)
-    text[:-1] += 2
-    ends = np.cumsum(sizes)
-    text[ends - 1] = 1
-    again = np.zeros(len(text), bool)
-    last = np.empty(0, np.int64)
-    for at, lcp in sorted_suffixes(text, 258, memory):
-        joined = np.concatenate([last, at])
-        near = np.flatnonzero(lcp >= length)
-        again[at[near]] = True
-        again[joined[near + len(last) - 1]] = True  # the very first suffix has no common prefix
-        last = at[-1:]
-    starts = ends - sizes
-    return [again[s : s + n] for s, n in zip(starts.tolist(), windows, strict=True)]
-
-
-def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    yield from zip(edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist(), strict=True)
-
-
-def narrowed(rows: list[dict], length: int, gram: int) -> tuple[list[tuple[int, int, int]], list[dict]]:
+def narrowed(rows: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray]:
     """Spans that are settled, and contexts that only their suffixes can settle, cut to the windows that may repeat.
 
+    ``rows`` has all contexts of some anchors (``anchor``, ``place``, ``windows``, ``low``, ``row_key``, ``copies``), and ``data[offsets[i]:offsets[i+1]]`` their bytes.
     A window has half of what ``length`` leaves beside its anchor on the left of it, or on the right. So it can only repeat if another context
     of the anchor has the same bytes there. Contexts that are equal once they are cut repeat as a whole, and one stands for all of them.
+    Returns the spans, the contexts and these contexts' bytes.
     """
     half = (length - gram) // 2
+    anchor, place, windows = rows["anchor"], rows["place"], rows["windows"]
+    start, size = offsets[:-1], np.diff(offsets)
+
+    def shared(there: np.ndarray, at: np.ndarray) -> np.ndarray:
+        own = np.flatnonzero(there)
+        keys = np.empty((len(own), 8 + half), np.uint8)
+        keys[:, :8] = anchor[own].view(np.uint8).reshape(-1, 8)
+        keys[:, 8:] = data[at[own][:, None] + np.arange(half)]
+        codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 + half), len(own), [None, pa.py_buffer(keys)]).dictionary_encode().indices.to_numpy()
+        out = np.zeros(len(there), bool)
+        out[own] = np.bincount(codes, minlength=1)[codes] > 1
+        return out
+
+    left = shared(place >= half, start + place - half)
+    right = shared(place + gram + half <= size, start + place + gram)
+    first = np.where(left, 0, np.maximum(0, place - half + 1))
+    last = np.where(right, windows, np.minimum(windows, place - (length - gram - half)))
+    kept = np.flatnonzero(first < last)
+    rows = {k: v[kept] for k, v in rows.items()}
+    first, last, start = first[kept], last[kept], start[kept]
+    rows |= {"low": rows["low"] + first, "windows": last - first, "place": rows["place"] - first}
+    size = rows["windows"] - 1 + length
+    data = ragged_take(data, start + first, size)
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    content = binary_array(data, offsets).dictionary_encode().indices.to_numpy()
+    order = np.lexsort((content, rows["place"], rows["anchor"]))
+    fresh = np.concatenate([[True], np.any([np.diff(x[order]) != 0 for x in (content, rows["place"], rows["anchor"])], axis=0)])[: len(order)]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(fresh) - 1
+    copies = np.bincount(group, minlength=1)
+    spans = {k: rows[k][(copies[group] > 1) & (rows["copies"] == 1)] for k in ("row_key", "low", "windows")}
+    one = order[np.flatnonzero(fresh)]  # a group's first
+    rows["copies"][one] = np.where(copies[group[one]] > 1, 2, rows["copies"][one])
+    _, kind, members = np.unique(rows["anchor"][one], return_inverse=True, return_counts=True)
+    one = np.sort(one[members[kind] > 1])
+    return spans, {k: v[one] for k, v in rows.items()}, ragged_take(data, offsets[one], size[one])
+
+
+class Shard:
+    """Contexts of a task, on disk; :meth:`repeated` sorts the suffixes of all of them.
+
+    The text has each context's bytes plus 2, then 1, and ends with 0. Only a window has ``length`` characters up to the end of its context.
+    """
 
-    def sides(r: dict) -> tuple[bytes | None, bytes | None]:
-        at = r["place"]
-        left, right = r["bytes"][max(0, at - half) : at], r["bytes"][at + gram : at + gram + half]
-        return left if len(left) == half else None, right if len(right) == half else None
-
-    lefts, rights = Counter(), Counter()
-    for r in rows:
-        left, right = sides(r)
-        lefts[r["anchor"], left] += left is not None
-        rights[r["anchor"], right] += right is not None
-    same: dict[tuple, list[dict]] = {}
-    for r in rows:
-        left, right = sides(r)
-        first, last = 0, r["windows"]
-        if lefts[r["anchor"], left] < 2:
-            first = max(first, r["place"] - half + 1)
-        if rights[r["anchor"], right] < 2:
-            last = min(last, r["place"] - (length - gram - half))
-        if first < last:
-            cut = r["bytes"][first : last - 1 + length]
-            same.setdefault((r["anchor"], r["place"] - first, cut), []).append(r | {"bytes": cut, "low": r["low"] + first, "windows": last - first, "place": r["place"] - first})
-    spans = [(r["row_key"], r["low"], r["windows"]) for found in same.values() if len(found) > 1 for r in found if r["copies"] == 1]
-    alone = Counter(anchor for anchor, _, _ in same)
-    return spans, [found[0] | ({"copies": 2} if len(found) > 1 else {}) for (anchor, _, _), found in same.items() if alone[anchor] > 1]
+    META = np.dtype([("row_key", "<i8"), ("low", "<i8"), ("start", "<i8"), ("windows", "<i4"), ("alone", "?")])
+
+    def __init__(self, length: int, memory: int = MEMORY):
+        self.length, self.memory = length, memory
+        self.text, self.meta = tempfile.TemporaryFile(), tempfile.TemporaryFile()
+        self.size = self.count = 0
+
+    def add(self, rows: dict[str, np.ndarray], data: np.ndarray) -> None:
+        size = rows["windows"].astype(np.int64) - 1 + self.length
+        ends = np.cumsum(size + 1)
+        text = np.empty(int(ends[-1]) if len(ends) else 0, np.uint16)
+        text[ends - 1] = 1
+        inner = np.ones(len(text), bool)
+        inner[ends - 1] = False
+        text[inner] = data.astype(np.uint16) + 2
+        meta = np.zeros(len(size), self.META)
+        for k in ("row_key", "low", "windows"):
+            meta[k] = rows[k]
+        meta["start"] = self.size + ends - size - 1
+        meta["alone"] = rows["copies"] == 1
+        self.text.write(text)
+        self.meta.write(meta)
+        self.size += len(text)
+        self.count += len(meta)
+
+    def repeated(self) -> Iterator[dict[str, np.ndarray]]:
+        """Spans of windows that occur at another place of these contexts too: two are equal if their suffixes stand next to each other with a common prefix of ``length``."""
+        if not self.count:
+            return
+        depth = max(DEPTH, self.length)
+        text = mapped(self.size + 1 + depth + 8, np.uint16, self.text)
+        again = mapped(self.size + 1, bool)
+        before = np.empty(0, np.int64)
+        for at, lcp in sorted_suffixes(text, 258, self.memory, depth, self.size + 1):
+            joined = np.concatenate([before, at])
+            near = np.flatnonzero(lcp >= self.length)
+            again[at[near]] = True
+            again[joined[near + len(before) - 1]] = True  # the very first suffix has no common prefix
+            before = at[-1:]
+        cool(text, again)
+        meta = mapped(self.count, self.META, self.meta)
+        for k in range(0, self.count, 1 << 14):
+            own = meta[k : k + (1 << 14)]
+            start, windows = own["start"], own["windows"].astype(np.int64)
+            low = int(start[0])
+            edges = np.zeros(int(start[-1] + windows[-1]) - low + 2, np.int8)
+            edges[start - low] = 1
+            edges[start - low + windows] = -1
+            flags = np.cumsum(edges, dtype=np.int8)[:-1].astype(bool)
+            flags &= again[low : low + len(flags)]
+            turns = np.flatnonzero(np.diff(flags.astype(np.int8), prepend=0, append=0))
+            at, number = turns[::2] + low, turns[1::2] - turns[::2]
+            nth = np.searchsorted(start, at, side="right") - 1
+            at, number, nth = (x[own["alone"][nth]] for x in (at, number, nth))
+            yield {"row_key": own["row_key"][nth], "low": own["low"][nth] + at - start[nth], "windows": number}
+
+
+LOT = 2 << 20  # bytes of contexts that are narrowed at once, whole anchors each
+KINDS = {"anchor": np.int64, "copies": np.int64, "row_key": np.int64, "low": np.int64, "windows": np.int64, "place": np.int64}
+
+
+def _columns(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Numbers of a table of contexts, and their bytes with offsets."""
+    found = table["bytes"].combine_chunks()
+    if isinstance(found, pa.ChunkedArray):
+        found = pa.concat_arrays(found.chunks)
+    offsets = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1].astype(np.int64)
+    data = np.frombuffer(found.buffers()[2] or b"", np.uint8)
+    return {k: table[k].to_numpy().astype(kind) for k, kind in KINDS.items()}, data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def _solved(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """Spans of contexts that occur once as a whole but share an anchor with others; rows of an anchor stand together."""
+    """Spans of contexts that occur once as a whole but share an anchor with others; rows of an anchor stand together.
 
-    def solve(held: list[dict]) -> pa.RecordBatch:
-        out, left = narrowed(held, length, gram)
-        found = repeated_windows([r["bytes"] for r in left], [r["windows"] for r in left], length) if left else []
-        out += [(r["row_key"], r["low"] + a, n) for r, flags in zip(left, found, strict=True) if r["copies"] == 1 for a, n in _runs(flags)]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["row_key", "low", "windows"])
+    A task narrows its anchors a lot at a time and sorts what is left as one shard, whose size only its disk bounds.
+    """
+
+    def spans(found: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"row_key": pa.array(found["row_key"]), "low": pa.array(found["low"]), "windows": pa.array(found["windows"], pa.int32())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        size, anchor = 0, None
+        shard, held, size = Shard(length), [], 0
+
+        def narrow(table: pa.Table) -> pa.RecordBatch:
+            settled, left, data = narrowed(*_columns(table), length, gram)
+            shard.add(left, data)
+            return spans(settled)
+
         for batch in batches:
-            for part in byte_slices(batch, "bytes"):
-                for row in part.to_pylist():
-                    if row["anchor"] != anchor and size > SHARD:
-                        yield solve(held)
-                        held, size = [], 0
-                    anchor = row["anchor"]
-                    held.append(row)
-                    size += len(row["bytes"])
+            for part in byte_slices(batch, "bytes", LOT):
+                held.append(part)
+                size += part["bytes"].nbytes
+                if size >= LOT:
+                    table = pa.Table.from_batches(held)
+                    named = table["anchor"].to_numpy()
+                    split = int(np.searchsorted(named, named[-1]))  # the last anchor may go on
+                    if split:
+                        yield narrow(table.slice(0, split))
+                    held = pa.Table.from_batches(table.slice(split).to_batches()).combine_chunks().to_batches()
+                    size = sum(p["bytes"].nbytes for p in held)
         if held:
-            yield solve(held)
+            yield narrow(pa.Table.from_batches(held))
+        for found in shard.repeated():
+            yield spans(found)
+        release_memory()
 
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "anchor").sortWithinPartitions("anchor", "row_key", "low")
     return dealt.mapInArrow(run, "row_key long, low long, windows int")
@@ -277,11 +348,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     2. Contexts that occur more than once as a whole (by a 64-bit hash of all bytes, within the same 64-bit anchor) repeat as a whole; one of them
        goes on. Groups are counted before they meet, so thousands of copies cost one row for each task.
     3. What is left are different contexts around one anchor. Their bytes are cut out of the texts and dealt by
-       anchor to shards of about ``SHARD`` bytes, which are narrowed (see :func:`narrowed`) and suffix-sorted.
+       anchor to one shard a task, which is narrowed (see :func:`narrowed`) and suffix-sorted from disk.
        Anchors with more than ``HOT`` bytes are split before (see :func:`_split_hot`).
     """
-    if length > DEPTH:
-        raise ValueError(f"length {length} is above {DEPTH}, to which common prefixes are exact")
+    if not 0 < gram <= length:
+        raise ValueError(f"an anchor of {gram} bytes doesn't lie within {length}")
+    once = texts.groupBy("row_key").agg(F.first("text").alias("text"))  # repeated rows all count, but are cut out of one
     found = _contexts(texts, length, gram)
     # a table of its own, as Spark can split a hot anchor in the join below only if no aggregation runs in the same stage
     often = stored(_contexts(texts, length, gram, names_only=True).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
@@ -300,7 +372,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     def cuts(anchors: DataFrame) -> DataFrame:
         open_ = kinds.join(anchors.select("anchor"), "anchor").select("anchor", "copies", "one.*")
         wanted = open_.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "copies", "low", "windows", "place")).alias("wanted"))  # bounded by the text's length
-        return texts.join(wanted, "row_key").select("row_key", "text", "wanted").mapInArrow(cut, "anchor long, copies long, row_key long, low long, windows int, place int, bytes binary")
+        return once.join(wanted, "row_key").select("row_key", "text", "wanted").mapInArrow(cut, "anchor long, copies long, row_key long, low long, windows int, place int, bytes binary")
 
     rows, spans = cuts(several.where(F.col("n") <= limit)), []
     hot = several.where(F.col("n") > limit)
@@ -320,15 +392,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     With ``as_text`` the text column itself becomes what is kept, less the bytes of characters that were cut in half.
     Strings are judged on the input and matches never cross texts. Adds to each row ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and
     ``kept_bytes`` (binary); columns of these names are replaced, others stay. Null texts count as empty; texts shorter than ``length`` stay whole. Rows that are equal in id and text
-    are repeats of each other. An empty table gives no rows. ``gram`` must be at most ``length``, and ``length`` at most ``induced.DEPTH``.
+    are repeats of each other. An empty table gives no rows. ``gram`` must be at most ``length``.
     """
     new = ("n_bytes", "n_removed", "n_spans", "kept_bytes")
     kept = [c for c in docs.columns if c not in new]
     text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary")
     key = F.xxhash64(F.col(id_column), F.col(text_column))
-    texts = docs.select(key.alias("row_key"), text.alias("text"))
-    spans = repeated_spans(texts, length, gram).groupBy("row_key").agg(F.collect_list(F.struct("low", "windows")).alias("spans"))
     rows = docs.select(key.alias("_row_key"), text.alias("_text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(kept) if c != text_column))
+    rows = bucketed(rows, "texts", "_row_key")  # texts move once, here; what is found out about them moves to them
+    texts = rows.select(F.col("_row_key").alias("row_key"), F.col("_text").alias("text"))
+    spans = repeated_spans(texts, length, gram).groupBy("row_key").agg(F.collect_set(F.struct("low", "windows")).alias("spans"))
     joined = rows.join(spans.withColumnRenamed("row_key", "_row_key"), "_row_key", "left")
     names = [f"_{i}" for i, c in enumerate(kept) if c != text_column]
 

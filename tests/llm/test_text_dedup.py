@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -133,14 +134,59 @@ def test_induced_sorting(seed):
     assert prefixes[1:] == [common_(a, b) for a, b in zip(plain, plain[1:], strict=False)]
 
 
+@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("memory", [2, 30])
+def test_induced_sorting_by_levels(seed, memory, monkeypatch):
+    """With few names in memory and few digits the recursion is several levels deep; common prefixes are exact to the depth."""
+    monkeypatch.setattr(induced, "DIGIT", 5)
+    r = np.random.default_rng(seed)
+    text = np.append(np.concatenate([r.integers(1, 6, 40)] * 4 + [r.integers(1, 6, 60)]), 0).astype(np.uint16)
+    found = list(induced.sorted_suffixes(text, 6, memory, depth=16))
+    order, prefixes = (np.concatenate([x[i] for x in found]).tolist() for i in (0, 1))
+    assert sorted(order) == list(range(len(text)))
+    own = [tuple(text[i:].tolist()) for i in order]
+    assert [x[:16] for x in own] == sorted((x[:16] for x in own), reverse=True)
+    for a, b, n in zip(own, own[1:], prefixes[1:], strict=False):
+        assert n == next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) or n == 16 and a[:16] == b[:16]
+
+
+def test_a_shard_of_ten_times_the_memory():
+    """What is held beside the disk follows the limit, not the text."""
+    r = np.random.default_rng(3)
+    words = [r.integers(3, 20, n) for n in (3, 4, 5, 6, 7) for _ in range(40)]
+    parts = [words[i] for i in r.integers(0, len(words), 8_000)]
+    text = np.append(np.concatenate(parts), 0).astype(np.uint16)
+    memory = len(text) // 10
+    mapped = induced.mapped(len(text) + 264, np.uint16)
+    mapped[: len(text)] = text
+    tracemalloc.start()
+    seen = deep = 0
+    for at, lcp in induced.sorted_suffixes(mapped, 20, memory // 4, n=len(text)):
+        seen += len(at)
+        deep += int((lcp >= 24).sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    grams = Counter(text[k : k + 24].tobytes() for k in range(len(text) - 24))
+    assert seen == len(text)
+    assert deep == sum(n - 1 for n in grams.values())
+    assert peak < 24 * 8 * memory
+
+
 def test_queues_wait_on_disk():
-    queue = induced.TupleQueue(10)
-    parts = [np.array([(i, i % 7)], induced.TUPLE) for i in range(100)]
-    for p in parts:
-        queue.push(p)
-    assert queue.on_disk > 50
-    assert np.concatenate([queue.pop(), queue.pop()]).tolist() == np.concatenate(parts).tolist()
-    assert np.concatenate(list(queue.reverse())).tolist() == np.concatenate(parts)[::-1].tolist()
+    queue = induced.TupleQueue(3, 100)
+    parts = [np.arange(20 * k, 20 * k + 20) for k in range(30)]
+    for p in parts[:15]:
+        queue.push(1, p)
+        queue.push(2, p)
+    assert queue.file is not None and queue.held <= 100
+    first = [queue.pop(1)]
+    for p in parts[15:]:
+        queue.push(1, p)
+    while len(got := queue.pop(1)):
+        first.append(got)
+    assert np.concatenate(first).tolist() == np.concatenate(parts).tolist()
+    assert np.concatenate(list(queue.reverse(1))).tolist() == np.concatenate(parts)[::-1].tolist()
+    assert not len(queue.pop(0))
 
 
 def removed(texts, length):
@@ -159,7 +205,7 @@ def removed(texts, length):
 
 @pytest.mark.parametrize(("length", "gram"), [(200, 100), (40, 7), (12, 12)])
 def test_remove_repeats(spark, documents, texts, length, gram, monkeypatch):
-    monkeypatch.setattr(repeats, "SHARD", 2000)
+    monkeypatch.setattr(repeats, "LOT", 2000)
     own = list(enumerate([*texts, "ab" * 300, "xyz" * 100 + "ab" * 150, "q" * 199, "q" * 450]))
     rows = repeats.remove_repeats(documents(dict(own)).repartition(3), length, gram).collect()
     assert {r.doc_id: (r["n_bytes"], r.n_removed, r.n_spans, bytes(r.kept_bytes)) for r in rows} == removed(own, length)
