@@ -6,7 +6,6 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -17,22 +16,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, open_fs, ragged_take, shared_path, shuffle_partitions, stored
+from .common import byte_slices, kept_in_worker, open_fs, ragged_take, shared_path, shuffle_partitions, stored
 
 BLOCK_BYTES = 24 << 20
 ENCODE = 20_000
 CODEC = pa.Codec("zstd", 3)
 
 
-@lru_cache(2)
 def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    def make():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.no_truncation()
-    found.no_padding()
-    return found
+        found = Tokenizer.from_file(path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
+    return kept_in_worker(("tokenizer", path), make)
 
 
 def word_starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:

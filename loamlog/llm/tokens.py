@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -14,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_array, byte_slices, ragged_take
+from .common import binary_array, byte_slices, kept_in_worker, ragged_take
 
-CACHE_WORDS = 800_000
+CACHE_BYTES = 24 << 20  # of words that an encoder knows
+WORD_BYTES = 170  # of a word besides its letters: its string, its place in the dictionary, its ids
 JOINED = 200
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -29,7 +29,7 @@ class WordEncoder:
     trailing ASCII punctuation (but for the apostrophe, which can belong to letters) is a word of its own
     where a letter or number stands before it, as the tokenizer separates them too. ASCII capitals
     are lowered. Words with the opening of a special token are left as they are. Ids of
-    words are kept until ``CACHE_WORDS`` are known, then forgotten, so memory stays bounded.
+    words are kept until they take ``CACHE_BYTES``, then forgotten, so memory stays bounded.
     """
 
     def __init__(self, path: str):
@@ -46,6 +46,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.slots: dict[str, int] = {}
+        self.size = 0
         self.flat = np.empty(0, np.uint32)
         self.starts = np.empty(0, np.int64)
         self.lengths = np.empty(0, np.int64)
@@ -55,6 +56,7 @@ class WordEncoder:
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, flat])
+        self.size += sum(map(len, words)) + WORD_BYTES * len(words)
         self.slots.update(zip(words, range(base, base + len(words)), strict=True))
 
     def _learn(self, words: list[str]) -> None:
@@ -95,7 +97,7 @@ class WordEncoder:
         size = pc.binary_length(stem).to_numpy(zero_copy_only=False)
         tail = _tails(lowered, np.where(cut.to_numpy(zero_copy_only=False), size, -1))
         stems, tails = stem.dictionary_encode(), tail.dictionary_encode()
-        if len(self.slots) > CACHE_WORDS:
+        if self.size > CACHE_BYTES:
             self._forget()
         if new := [w for w in dict.fromkeys([*stems.dictionary.to_pylist(), *tails.dictionary.to_pylist()]) if w not in self.slots]:
             self._learn(new)
@@ -122,10 +124,9 @@ def _tails(words: pa.Array, cut: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.py_buffer(out)])
 
 
-@lru_cache(2)
 def word_encoder(path: str) -> WordEncoder:
-    """One encoder a process; tasks that run one after another share its words."""
-    return WordEncoder(path)
+    """One encoder a process; tasks of a stage that run one after another share its words."""
+    return kept_in_worker(("words", path), lambda: WordEncoder(path))
 
 
 def with_end(flat: np.ndarray, counts: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
