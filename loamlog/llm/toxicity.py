@@ -13,11 +13,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, stored
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 8000  # bound of the rows that a model is fitted on
+MAX_FEATURES = 4096  # bound of the features of a model; with the rows it bounds what the driver holds
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 150_000
 Z_SCORE, MIN_DOCUMENTS = 5.0, 4
@@ -54,27 +55,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit - self.threshold + np.log(0.7 / 0.3), -500, 500)))
 
 
-def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Features that are significantly more frequent in positives than in unlabelled texts; with few texts, those that are somewhat."""
-    p = np.bincount(np.concatenate(positive), minlength=BUCKETS) / len(positive)
-    u = (np.bincount(np.concatenate(unlabelled), minlength=BUCKETS) + 0.5) / (len(unlabelled) + 1)
-    z = (p - u) / np.sqrt(u * (1 - u) / len(positive))
-    found = np.flatnonzero((z > Z_SCORE) & (p * len(positive) >= MIN_DOCUMENTS - 0.5))
-    return found if len(found) else np.flatnonzero((z > Z_SCORE / 2) & (p * len(positive) >= 1.5))
+def select_features(positive: np.ndarray, n_positive: int, unlabelled: np.ndarray, n_unlabelled: int) -> np.ndarray:
+    """Features that are significantly more frequent in positives than in unlabelled texts; with few texts, those that are somewhat. At most ``MAX_FEATURES``, the most significant ones.
+
+    ``positive`` and ``unlabelled`` are the numbers of texts with each feature.
+    """
+    p = positive / n_positive
+    u = (unlabelled + 0.5) / (n_unlabelled + 1)
+    z = (p - u) / np.sqrt(u * (1 - u) / n_positive)
+    found = np.flatnonzero((z > Z_SCORE) & (positive >= MIN_DOCUMENTS))
+    found = found if len(found) else np.flatnonzero((z > Z_SCORE / 2) & (positive >= 2))
+    return np.sort(found[np.argsort(-z[found], kind="stable")[:MAX_FEATURES]])
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 1500, batch: int = 512, rate: float = 0.1, decay: float = 1e-4, seed: int = 0) -> Model | None:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, chosen: np.ndarray | None = None, steps: int = 1500, batch: int = 512, rate: float = 0.1, decay: float = 1e-4, seed: int = 0) -> Model | None:
     """Fit on features of confirmed positives and of unlabelled texts; ``prior`` is the share of positives among the latter.
 
     The risk is ``prior * R+(P) + max(0, R-(U) - prior * R-(P))`` under the logistic loss: the second part estimates
     the risk on negatives, of which no example is used. Where it gets negative on a batch, the step goes against its
     gradient instead, so the model can't profit from overfitting the difference. AdaGrad, numpy only.
     Then the threshold is put where the same risk under the 0-1 loss is least, in the middle if that is a range.
-    Without positives or unlabelled texts there is no model.
+    Without positives, unlabelled texts or features there is no model. ``chosen`` are the features to use, by default those
+    of :func:`select_features`.
     """
     if not positive or not unlabelled or not any(map(len, positive)):
         return None
-    chosen = select_features(positive, unlabelled)
+    if chosen is None:
+        counts = (np.bincount(np.concatenate(rows), minlength=BUCKETS) for rows in (positive, unlabelled))
+        chosen = select_features(next(counts), len(positive), next(counts), len(unlabelled))
     if not len(chosen):
         return None
     place = np.full(BUCKETS, -1)
@@ -124,30 +132,50 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(dict(zip(chosen.tolist(), weights.tolist(), strict=True)), bias, float((cuts[best[0]] + cuts[best[-1]]) / 2))
 
 
-def _features(df: DataFrame) -> list[tuple[int, np.ndarray]]:
-    """Features of a bounded number of rows ``doc_id``, ``text``, on the driver, in order of id."""
+def _counts(df: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of rows ``text``, and of those with each feature, counted in tasks; the driver gets at most ``BUCKETS`` numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rows = np.zeros(BUCKETS, np.int32), 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([text_features(t).tobytes() for t in batch["text"].to_pylist()], pa.binary())], names=["doc_id", "features"])
+            for part in byte_slices(batch, "text"):
+                rows += len(part)
+                for t in part["text"].to_pylist():
+                    found[text_features(t)] += 1
+        own = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1), pa.int32()), pa.array(np.append(found[own], rows), pa.int64())], names=["feature", "n"])
+
+    got = df.select("text").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    feature, n = got["feature"].to_numpy(), got["n"].to_numpy()
+    out = np.zeros(BUCKETS, np.int64)
+    out[feature[feature >= 0]] = n[feature >= 0]
+    return int(n[feature < 0].sum()), out
+
+
+def _features(df: DataFrame, chosen: np.ndarray) -> list[np.ndarray]:
+    """Which of the ``chosen`` features each of a bounded number of rows has, on the driver, in order of id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, "text"):
+                found = [np.intersect1d(text_features(t), chosen).astype(np.int32).tobytes() for t in part["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(found, pa.binary())], names=["doc_id", "features"])
 
     found = df.select("doc_id", "text").mapInArrow(run, "doc_id long, features binary").collect()
-    return sorted(((r["doc_id"], np.frombuffer(r["features"], np.int32)) for r in found), key=lambda x: (x[0], x[1].tobytes()))
+    return [np.frombuffer(r["features"], np.int32) for r in sorted(found, key=lambda r: (r["doc_id"], bytes(r["features"])))]
 
 
-def _sampled(df: DataFrame, rows: int, bound: int) -> DataFrame:
-    """About ``bound`` rows by a hash of the id, never more than 1.25 times as many."""
-    if rows <= bound:
-        return df
-    share = int(bound / rows * 2**32)
-    return df.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(2**32)) < share).limit(bound * 5 // 4)
+def _least(rows: DataFrame, bound: int) -> DataFrame:
+    """The ``bound`` rows with the least ``h``, of which the driver sees these numbers alone; only equal rows share one, so it makes no difference which of them are left out."""
+    least = [r["h"] for r in rows.select("h").orderBy("h").limit(bound).collect()]
+    return rows.where(F.col("h") <= least[-1]).limit(bound) if len(least) == bound else rows
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, id_column: str = "doc_id", text_column: str = "text") -> Model | None:
     """Fit on documents and ``labels`` (``doc_id``, ``toxic``) that :func:`held_out` doesn't keep away.
 
-    At most about ``max_positive`` rows labelled toxic and ``max_unlabelled`` rows of any kind, chosen by a hash of their id, are
-    fitted on; the class prior comes from all labels that may be learned from. A document counts as toxic if any of its
+    At most ``max_positive`` rows labelled toxic and ``max_unlabelled`` rows of any kind, chosen by a hash of id and text, are
+    fitted on, with at most ``MAX_FEATURES`` features; the class prior comes from all labels that may be learned from. A document counts as toxic if any of its
     labels says so; null labels and labels of no document count for nothing.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).where(~held_out() & F.col("doc_id").isNotNull())
@@ -156,10 +184,15 @@ def fit_documents(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_PO
     if not rows["toxic"]:
         return None
     prior = min(0.95, max(0.001, rows["toxic"] / rows["n"]))
-    ids = _sampled(known.where("toxic = 1").select("doc_id"), rows["toxic"], max_positive)
-    positive = [f for _, f in _features(texts.join(F.broadcast(ids), "doc_id", "left_semi").limit(2 * max_positive))]  # at most 1.25 * max_positive ids
-    unlabelled = [f for _, f in _features(_sampled(texts, texts.count(), max_unlabelled))]
-    return fit(positive, unlabelled, prior)
+    texts = texts.withColumn("h", F.xxhash64("doc_id", "text", F.lit("sample")))
+    ids = _least(known.where("toxic = 1").select("doc_id", F.xxhash64("doc_id", F.lit("sample")).alias("h")), max_positive)
+    positive = stored(_least(texts.join(ids.select("doc_id"), "doc_id", "left_semi"), max_positive).select("doc_id", "text"), "positive")
+    unlabelled = stored(_least(texts, max_unlabelled).select("doc_id", "text"), "unlabelled")
+    (n_positive, p), (n_unlabelled, u) = _counts(positive), _counts(unlabelled)
+    if not n_positive or not n_unlabelled:
+        return None
+    chosen = select_features(p, n_positive, u, n_unlabelled)
+    return fit(_features(positive, chosen), _features(unlabelled, chosen), prior, chosen)
 
 
 def score_documents(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
