@@ -37,23 +37,47 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Vectors of one block: ids, number of copies, unit vectors, and codes with their bounds."""
+    """Vectors of one block: ids, number of copies, and int8 codes with their bounds; unit vectors of single rows where they are asked for.
 
-    def __init__(self, ids: np.ndarray, copies: np.ndarray, unit: np.ndarray):
-        self.ids, self.copies, self.unit = ids, copies, unit
-        self.codes, self.scale, self.norm, self.error = quantise(unit)
+    It is two files: ``.codes`` has all but the unit vectors, an eighth of their size, and ``.rows`` these in double precision, one after another.
+    """
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, codes: np.ndarray, scale: np.ndarray, norm: np.ndarray, error: np.ndarray, rows: np.ndarray | str):
+        self.ids, self.copies, self.codes, self.scale, self.norm, self.error, self.rows = ids, copies, codes, scale, norm, error, rows
+
+    @classmethod
+    def of(cls, ids: np.ndarray, copies: np.ndarray, unit: np.ndarray) -> Block:
+        return cls(ids, copies, *quantise(unit), unit)
 
-    def write(self) -> bytes:
+    def write(self, path: str) -> None:
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, copies=self.copies, unit=self.unit)
-        return out.getvalue()
+        np.savez(out, ids=self.ids, copies=self.copies, codes=self.codes, scale=self.scale, norm=self.norm, error=self.error)
+        for kind, data in (("codes", out.getvalue()), ("rows", self.rows.astype("<f8").tobytes())):
+            fs, at = open_fs(f"{path}.{kind}")
+            fs.create_dir(at.rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(at) as file:
+                file.write(data)
 
     @classmethod
     def read(cls, path: str) -> Block:
-        fs, at = open_fs(path)
+        fs, at = open_fs(f"{path}.codes")
         with fs.open_input_file(at) as file:
             found = np.load(io.BytesIO(file.read()))
-        return cls(found["ids"], found["copies"], found["unit"])
+        return cls(*(found[k] for k in ("ids", "copies", "codes", "scale", "norm", "error")), path)
+
+    def unit(self, wanted: np.ndarray) -> np.ndarray:
+        """Unit vectors of the rows ``wanted``; only these are read, or all if they are many."""
+        if isinstance(self.rows, str):
+            own, place = np.unique(wanted, return_inverse=True)
+            size = 8 * self.codes.shape[1]
+            fs, at = open_fs(f"{self.rows}.rows")
+            with fs.open_input_file(at) as file:
+                if 4 * len(own) > len(self.ids):
+                    self.rows = np.frombuffer(file.read(), "<f8").reshape(-1, self.codes.shape[1])
+                else:
+                    data = b"".join(file.read_at(size, int(i) * size) for i in own)
+                    return np.frombuffer(data, "<f8").reshape(-1, self.codes.shape[1])[place]
+        return self.rows[wanted]
 
 
 def linked_pairs(a: Block, b: Block, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -84,7 +108,7 @@ def linked_pairs(a: Block, b: Block, threshold: float, same: bool) -> Iterator[t
         open_ = np.flatnonzero(~linked & (value + bound >= threshold))
         for k in range(0, len(open_), 1 << 16):
             own = open_[k : k + (1 << 16)]
-            linked[own] = np.einsum("ij,ij->i", a.unit[i[own]], b.unit[j[own]]) >= threshold
+            linked[own] = np.einsum("ij,ij->i", a.unit(i[own]), b.unit(j[own])) >= threshold
         yield i[linked], j[linked]
 
 
@@ -116,8 +140,8 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9, id_column: str = "v
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` for every row.
 
     All vectors of one dimension are compared. Equal vectors become one with a number of copies; the rest is dealt by the nearest of ``PIVOTS`` vectors
-    and the angle to it into blocks of at most ``BLOCK``, written to the shared folder. A pair of blocks is a tile; tiles whose
-    centres lie further apart than both radii and the threshold's angle are left out, which can't lose a link. A tile returns
+    and the angle to it into blocks of at most ``BLOCK``, written to the shared folder. A pair of blocks is a tile; tiles whose pivots or
+    centres lie further apart than both radii and the threshold's angle are left out, which can't lose a link. A tile reads int8 codes, and full rows of open pairs only, and returns
     at most one row for each of its vectors. Vectors that are null, zero or have null or non-finite components link with
     nothing, as do those of different dimensions with each other; a row without an id also links with nothing. Repeated rows stay and count as other vectors. An empty table gives
     no rows. Other columns are not read.
@@ -161,17 +185,16 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9, id_column: str = "v
             while len(table) >= BLOCK or last and len(table):
                 own, table = table.slice(0, BLOCK), table.slice(BLOCK)
                 unit = unit_of(own["v"].combine_chunks(), dimension)
-                block = Block(own["vec_id"].to_numpy(), own["copies"].to_numpy(), unit)
-                path = f"{base}/{uuid.uuid4().hex}.npz"
-                fs, at = open_fs(path)
-                fs.create_dir(at.rpartition("/")[0], recursive=True)
-                with fs.open_output_stream(at) as out:
-                    out.write(block.write())
+                path = f"{base}/{uuid.uuid4().hex}"
+                Block.of(own["vec_id"].to_numpy(), own["copies"].to_numpy(), unit).write(path)
                 centre = unit.sum(axis=0)
                 norm = np.linalg.norm(centre)
                 centre = centre / norm if norm > 1e-6 else unit[0]
                 radius = float(np.arccos(np.clip(unit @ centre, -1, 1)).max()) + 1e-6
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([dimension], pa.int32()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius])], names=["path", "dimension", "centre", "radius"])
+                pivot = own["pivot"][0].as_py()
+                # how far the block reaches from the pivot of its first vector
+                away = float(np.arccos(np.clip(unit @ by_dimension[dimension][pivot], -1, 1)).max()) + 1e-6 if dimension in by_dimension else math.pi
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([dimension], pa.int32()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius]), pa.array([pivot]), pa.array([away])], names=["path", "dimension", "centre", "radius", "pivot", "away"])
             held = table.to_batches()
 
         for batch in batches:
@@ -190,13 +213,17 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9, id_column: str = "v
     placed = classes.mapInArrow(near, "v array<double>, vec_id long, copies long, dimension int, pivot long, angle double")
     parts = max(1, count // (4 * BLOCK))  # each gives full blocks but for its last
     dealt = placed.repartitionByRange(parts, "dimension", "pivot", "angle", "vec_id").sortWithinPartitions("dimension", "pivot", "angle", "vec_id").coalesce(parts)
-    blocks = checkpointed(dealt.mapInArrow(build, "path string, dimension int, centre array<double>, radius double"))
+    blocks = checkpointed(dealt.mapInArrow(build, "path string, dimension int, centre array<double>, radius double, pivot long, away double"))
     numbered = checkpointed(blocks.selectExpr("row_number() over (partition by dimension order by path) - 1 as n", "*"))
-    many = numbered.groupBy("dimension").agg(F.count(F.lit(1)).cast("int").alias("blocks"))
-    left = numbered.join(F.broadcast(many), "dimension").withColumn("m", F.explode(F.sequence("n", F.col("blocks") - 1)))  # one row a dimension
-    right = numbered.select("dimension", F.col("n").alias("m"), F.col("path").alias("other"), F.col("centre").alias("c"), F.col("radius").alias("r"))
+    # pairs of pivots whose blocks can hold a link: a row for two of them, so block pairs are made within these only
+    reach = {(r["dimension"], r["pivot"]): r["away"] for r in numbered.groupBy("dimension", "pivot").agg(F.max("away").alias("away")).collect()}  # at most PIVOTS, and one for each dimension without
+    widest = math.acos(threshold) + 1e-6
+    pairs = [(d, p, q) for d, p in reach for e, q in reach if d == e and (d not in by_dimension or math.acos(max(-1.0, min(1.0, float(by_dimension[d][p] @ by_dimension[d][q])))) - reach[d, p] - reach[d, q] <= widest)]
+    near_pivots = spark.createDataFrame(pairs, "dimension int, pivot long, beside long")
+    left = numbered.join(F.broadcast(near_pivots), ["dimension", "pivot"])  # at most PIVOTS squared
+    right = numbered.select("dimension", F.col("n").alias("m"), F.col("path").alias("other"), F.col("centre").alias("c"), F.col("radius").alias("r"), F.col("pivot").alias("beside"))
     apart = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.expr("aggregate(zip_with(centre, c, (x, y) -> x * y), double(0), (s, x) -> s + x)"))))
-    tiles = checkpointed(left.join(right, ["dimension", "m"]).where((F.col("n") == F.col("m")) | (apart - F.col("radius") - F.col("r") <= math.acos(threshold) + 1e-6)).select("path", "other"))
+    tiles = checkpointed(left.join(right, ["dimension", "beside"]).where("n <= m").where((F.col("n") == F.col("m")) | (apart - F.col("radius") - F.col("r") <= widest)).select("path", "other"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, a = None, None
