@@ -173,6 +173,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         # links that pointers follow are settled; without them a node that is the least neighbour of many has few left. Tables between the joins let Spark split what is still skewed
         pb = point.select(F.col("node").alias("b"), F.col("to").alias("rb"))
         open_ = checkpointed(left.join(up.select(F.col("node").alias("b"), "to"), "b").where("a <> to").select("a", "b"))
+        if open_.isEmpty():
+            break
         ends = checkpointed(open_.join(pb, "b").select("a", "rb"))
         pa_ = point.select(F.col("node").alias("a"), F.col("to").alias("ra"))
         left = checkpointed(ends.join(pa_, "a").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())

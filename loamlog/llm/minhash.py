@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_slices, checkpointed, components, shuffle_partitions, stored
@@ -17,6 +17,7 @@ WORDS = 5
 BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band with probability 3e-6, one of 0.85 with 2e-8
 BITS = 4
 TILE = 512
+NO_POOL = -(1 << 62) - 1  # in the place of a component's id, for the small ones of a family together
 SCREEN_SIGMAS = 7.0  # misses a pair at the threshold with probability 3e-9 (0.85) or 1e-9 (0.8), less than the bands do
 
 _random = np.random.Generator(np.random.PCG64(20240229))
@@ -99,37 +100,58 @@ def low_bits(found: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8).reshape(len(found), -1), axis=1, bitorder="little")
 
 
+def _corrected(differ: np.ndarray) -> np.ndarray:
+    """Similarities by the number of minima whose low bits differ, corrected for chance agreement."""
+    chance = 2.0**-BITS
+    return (1 - differ / (BANDS * ROWS) - chance) / (1 - chance)
+
+
+def _differing(x: np.ndarray) -> np.ndarray:
+    """How many minima differ, by the exclusive or of a word of two signatures."""
+    some = x.copy()
+    for k in range(1, BITS):
+        some |= x >> np.uint64(k)
+    return np.bitwise_count(some & np.uint64(sum(1 << i for i in range(0, 64, BITS))))
+
+
 def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarities of all pairs of packed signatures (rows of 64-bit words), corrected for chance agreement of low bits."""
-    ones = np.uint64(sum(1 << i for i in range(0, 64, BITS)))
     differ = np.zeros((len(a), len(b)), np.int32)
     for word in range(a.shape[1]):
-        x = a[:, word, None] ^ b[None, :, word]
-        some = x.copy()
-        for k in range(1, BITS):
-            some |= x >> np.uint64(k)
-        differ += np.bitwise_count(some & ones)
-    chance = 2.0**-BITS
-    return (1 - differ / (BANDS * ROWS) - chance) / (1 - chance)
+        differ += _differing(a[:, word, None] ^ b[None, :, word])
+    return _corrected(differ)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As :func:`estimated`, of each row of ``a`` and the one of ``b`` at its place."""
+    return _corrected(_differing(a ^ b).sum(axis=1, dtype=np.int64))
 
 
-def link_sets(sets: list[np.ndarray], signatures: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def screen(percent: int) -> float:
+    """The estimate below which a pair is no link."""
+    threshold = percent / 100
+    return threshold - SCREEN_SIGMAS * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5
+
+
+def possible(signatures: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of ``left`` and ``right`` items may be links: their estimate doesn't lie ``SCREEN_SIGMAS`` standard deviations below the threshold, and their sizes allow it."""
+    low, high = np.minimum.outer(sizes[left], sizes[right]), np.maximum.outer(sizes[left], sizes[right])
+    return (estimated(signatures[left], signatures[right]) >= screen(percent)) & (100 * low >= percent * high)
+
+
+def link_sets(sets: list[np.ndarray], signatures: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, groups: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between ``left`` and ``right`` items.
 
-    Pairs whose estimate lies ``SCREEN_SIGMAS`` standard deviations below the threshold are skipped, and so are those
-    that already belong together; every other pair is decided on its full sets.
+    Pairs that can't be links (see :func:`possible`) are skipped, and so are those that already belong together, by ``groups`` or links found so far;
+    every other pair is decided on its full sets.
     """
-    threshold = percent / 100
-    floor = threshold - SCREEN_SIGMAS * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5
     sizes = np.array([len(s) for s in sets])
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
     present = np.zeros(int(codes.max()) + 1, bool)
-    root = np.arange(len(sets))
+    root = np.arange(len(sets)) if groups is None else np.unique(groups, return_inverse=True)[1]
     links = []
-    maybe = estimated(signatures[left], signatures[right]) >= floor
-    low, high = np.minimum.outer(sizes[left], sizes[right]), np.maximum.outer(sizes[left], sizes[right])
-    maybe &= 100 * low >= percent * high
+    maybe = possible(signatures, sizes, left, right, percent)
     for k, i in enumerate(left):
         own = right[maybe[k]]
         own = own[(own != i) & (root[own] != root[i])]
@@ -168,38 +190,89 @@ def _signed(docs: DataFrame, id_column: str, text_column: str, words: int) -> Da
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, bits binary")
 
 
+TILE_KEY = ("family", "low", "high")
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[dict]]:
+    """Rows of each tile; they stand together."""
+    held: list[dict] = []
+    tile = None
+    for batch in batches:
+        for part in byte_slices(batch, column):
+            for row in part.to_pylist():
+                key = tuple(row[k] for k in TILE_KEY)
+                if key != tile and held:
+                    yield held
+                    held = []
+                tile = key
+                held.append(row)
+    if held:
+        yield held
+
+
+def _sides(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of both sides of a tile (all on both, where it is of one block), and the packed bits."""
+    side = np.array([r["side"] for r in rows])
+    bits = np.frombuffer(b"".join(r["bits"] for r in rows), "<u8").reshape(len(rows), -1)
+    if rows[0]["low"] == rows[0]["high"]:
+        return np.arange(len(rows)), np.arange(len(rows)), bits
+    return np.flatnonzero(side == 0), np.flatnonzero(side == 1), bits
+
+
+def _dealt(tiles: DataFrame) -> DataFrame:
+    return tiles.repartition(shuffle_partitions(tiles.sparkSession), *TILE_KEY).sortWithinPartitions(*TILE_KEY, "doc_id")
+
+
 def _tile_links(tiles: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links of the tiles; rows of a tile stand together and a tile has a bounded number of them."""
+    """Links within tiles (``family``, ``low``, ``high``, ``side``, ``doc_id``, ``component``, ``bits``, ``text``), of which each has a bounded number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _tiles(batches, "text"):
+            left, right, bits = _sides(rows)
+            if len(rows) < 2 or not len(left) or not len(right):
+                continue
+            sets = distinct_sets(*shingle_hashes(pa.array([r["text"] for r in rows], pa.string()), words))
+            found = link_sets(sets, bits, left, right, percent, np.array([r["component"] for r in rows]))
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([rows[i]["doc_id"] for i, _ in found], pa.int64()), "b": pa.array([rows[j]["doc_id"] for _, j in found], pa.int64())})
+
+    return _dealt(tiles).mapInArrow(run, "a long, b long")
+
 
-    def solve(rows: list[dict]) -> list[tuple[int, int]]:
-        hashes, counts = shingle_hashes(pa.array([r["text"] for r in rows], pa.string()), words)
-        sets = distinct_sets(hashes, counts)
-        bits = np.frombuffer(b"".join(r["bits"] for r in rows), "<u8").reshape(len(rows), -1)
-        block = np.array([r["block"] for r in rows])
-        own, other = rows[0]["low"], rows[0]["high"]
-        found = link_sets(sets, bits, np.flatnonzero(block == own), np.flatnonzero(block == other), percent)
-        return [(rows[i]["doc_id"], rows[j]["doc_id"]) for i, j in found]
+def _open_rows(tiles: DataFrame, percent: int) -> DataFrame:
+    """Rows of tiles (as in :func:`_tile_links`, with ``n`` and without texts) that another one of another component may be linked to, by signatures alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _tiles(batches, "bits"):
+            left, right, bits = _sides(rows)
+            sizes, component = (np.array([r[k] for r in rows]) for k in ("n", "component"))
+            maybe = possible(bits, sizes, left, right, percent) & (component[left][:, None] != component[right][None, :])
+            own = np.union1d(left[maybe.any(axis=1)], right[maybe.any(axis=0)])
+            if len(own):
+                yield pa.RecordBatch.from_pylist([{k: rows[i][k] for k in (*TILE_KEY, "side", "doc_id", "component", "bits")} for i in own.tolist()], schema=kinds)
+
+    kinds = pa.schema([("family", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("side", pa.int32()), ("doc_id", pa.int64()), ("component", pa.int64()), ("bits", pa.binary())])
+    return _dealt(tiles).mapInArrow(run, "family long, low int, high int, side int, doc_id long, component long, bits binary")
+
+
+def _screened(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` that may be links, by their sizes and signatures ``n_a``, ``n_b``, ``bits_a``, ``bits_b``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        tile = None
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for part in byte_slices(batch, "text"):
-                for row in part.to_pylist():
-                    key = (row["family"], row["low"], row["high"])
-                    if key != tile:
-                        if len(held) > 1:
-                            out += solve(held)
-                        held, tile = [], key
-                    held.append(row)
-            if out:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
-        if len(held) > 1 and (out := solve(held)):
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
-
-    order = ["family", "low", "high"]
-    return tiles.repartition(shuffle_partitions(tiles.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+            keep = np.zeros(len(batch), bool)
+            sizes = [batch[k].to_numpy() for k in ("n_a", "n_b")]
+            bits = [np.frombuffer(b"".join(batch[k].to_pylist()), "<u8").reshape(len(batch), -1) if len(batch) else None for k in ("bits_a", "bits_b")]
+            if len(batch):
+                keep = (similar(*bits) >= screen(percent)) & (100 * np.minimum(*sizes) >= percent * np.maximum(*sizes))
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(keep)), batch["b"].filter(pa.array(keep))], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of tiles with the text of each."""
+    return texts.join(rows, "doc_id").select(*TILE_KEY, "side", "doc_id", "component", "bits", "text")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -210,33 +283,59 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
 
     1. One pass takes each text's shingle set, its minima, the keys of its bands and the packed low bits.
        Rows with equal sets become one.
-    2. Sets that share a band are joined to the band's least id only, and components of these joints are families of
-       candidates: no set outside has a band in common. Pairs of a bucket are never listed.
-    3. A family is dealt into blocks of about ``TILE`` sets, and each pair of blocks is a tile, which bounds every task
-       however large a family is. Within a tile all pairs are screened by the bits' collision-corrected estimate and the remaining
-       ones decided on full sets; it returns at most as many links as it has rows.
-    4. Components of these links are the result.
+    2. Sets that share a band are paired with the band's least id only. Pairs that pass the bits' collision-corrected estimate are decided on full sets, a head
+       with up to ``TILE`` of its sets at a time. Pairs of a bucket are never listed.
+    3. Components of all pairs of step 2, passed or not, are families of candidates: no set outside has a band in common. Families that step 2 has linked as a whole are
+       done. The sets of others are dealt into blocks of about ``TILE`` and each pair of blocks is a tile, which bounds every task however large a family is; tiles within one linked
+       component are left out. Tiles are screened by signatures alone, and only sets that may have a link to another component fetch their texts: these are
+       decided on full sets. A tile returns at most as many links as it has rows.
+    4. Components of the links of both steps are the result.
 
     Pairs that share no band (see ``BANDS``) are missed with the probability given there. Null texts are empty. Rows with a null
     doc_id link with nothing and are kept. Repeated rows stay and get equal values. An empty table gives no rows. Other columns are not read.
     """
     signed = stored(_signed(docs, id_column, text_column, words), "signatures")
     named = signed.where("set_key is not null and doc_id is not null")
-    sets = named.groupBy("set_key").agg(F.min_by(F.struct("bands", "bits"), "doc_id").alias("s"), F.min("doc_id").alias("doc_id"))
-    sets = stored(sets.select("set_key", "doc_id", "s.bands", "s.bits"), "sets")
+    sets = named.groupBy("set_key").agg(F.min_by(F.struct("bands", "bits", "n_shingles"), "doc_id").alias("s"), F.min("doc_id").alias("doc_id"))
+    sets = stored(sets.select("set_key", "doc_id", "s.bands", "s.bits", F.col("s.n_shingles").alias("n")), "sets")
+    marks = sets.select("doc_id", "bits", "n")
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     keys = sets.select("doc_id", F.explode("bands").alias("key"))
     heads = keys.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joints = keys.join(heads, "key").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-    families = checkpointed(components(joints))
-    sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
-    members = families.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), blocks.alias("blocks"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    members = checkpointed(members.join(sets.select("doc_id", "bits"), "doc_id"))
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = texts.join(members, "doc_id").select("doc_id", "text", "bits", "family", "block", other).select("doc_id", "text", "bits", "family", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    links = components(_tile_links(tiles, words, percent))
+    met = checkpointed(keys.join(heads, "key").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")))
+    joints = checkpointed(met.distinct())
+
+    # step 2: every set against the heads of its bands
+    of_a = checkpointed(joints.join(marks.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a")), "a"))
+    of_b = of_a.join(marks.select(F.col("doc_id").alias("b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b")), "b")
+    pairs = checkpointed(_screened(of_b.select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), percent))
+    crowd = pairs.groupBy(F.col("b").alias("head")).agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
+    beside = pairs.withColumnRenamed("b", "head").join(crowd, "head").select(F.col("head").alias("family"), block.alias("low"), F.lit(1).alias("side"), F.col("a").alias("doc_id"))
+    own = crowd.select(F.col("head").alias("family"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("low"), F.lit(0).alias("side"), F.col("head").alias("doc_id"))
+    rows = checkpointed(beside.unionByName(own)).select("family", "low", F.lit(-1).alias("high"), "side", "doc_id", F.col("doc_id").alias("component"))
+    first = stored(_tile_links(_with_texts(rows.join(marks.drop("n"), "doc_id"), texts), words, percent), "head_links")
+    linked = components(first)
+
+    # step 3: what is left between components of a family
+    families = checkpointed(components(joints).withColumnRenamed("component", "family").join(linked, "node", "left").select(F.col("node").alias("doc_id"), "family", F.coalesce("component", "node").alias("component")))
+    open_ = families.groupBy("family").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("family")
+    members = families.join(open_, "family")
+    kinds = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("size"))
+    # a component that fills blocks has its own, the small ones of a family share some; a block's number is its place among the family's
+    kinds = kinds.withColumn("pool", F.when(F.col("size") >= TILE, F.col("component")).otherwise(F.lit(NO_POOL)))
+    pools = kinds.groupBy("family", "pool").agg(F.ceil(F.sum("size") / F.lit(TILE)).cast("int").alias("blocks"))
+    pools = checkpointed(pools.withColumn("from", F.coalesce(F.sum("blocks").over(Window.partitionBy("family").orderBy("pool").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")))  # a row for TILE members at least, but for the shared pool
+    placed = members.join(kinds.drop("size"), ["family", "component"]).join(pools, ["family", "pool"])
+    placed = checkpointed(placed.select("family", "doc_id", "component", "pool", (F.col("from") + F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).cast("int").alias("block")))
+    blocks = pools.select("family", "pool", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("blocks") - 1)).alias("block"))
+    other = blocks.select("family", F.col("pool").alias("pool2"), F.col("block").alias("block2"))
+    tiles = checkpointed(blocks.join(other, "family").where((F.col("block") <= F.col("block2")) & ((F.col("pool") != F.col("pool2")) | (F.col("pool") == NO_POOL))).select("family", F.col("block").alias("low"), F.col("block2").alias("high")))
+    sides = tiles.select("family", "low", "high", F.col("low").alias("block"), F.lit(0).alias("side")).unionByName(tiles.where("low <> high").select("family", "low", "high", F.col("high").alias("block"), F.lit(1).alias("side")))
+    cast = checkpointed(placed.join(sides, ["family", "block"]).join(marks, "doc_id").select(*TILE_KEY, "side", "doc_id", "component", "bits", "n"))
+    rest = checkpointed(_open_rows(cast, percent))
+    second = stored(_tile_links(_with_texts(rest, texts), words, percent), "tile_links")
+    links = linked if second.isEmpty() else components(first.unionByName(second))
     roots = sets.select("set_key", "doc_id").join(links.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key")
     lone = out.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
