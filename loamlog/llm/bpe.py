@@ -20,6 +20,8 @@ from .common import byte_slices, kept_in_worker, open_fs, ragged_take, shared_pa
 
 BLOCK_BYTES = 24 << 20
 ENCODE = 20_000
+BUCKET_BYTES = 256 << 20  # of texts for a bucket of the distinct-word table, at most
+TABLE_BYTES, WORD_BYTES = 96 << 20, 200  # of a bucket's words that a task knows, and of a word besides its letters; beyond it they are forgotten and met again
 CODEC = pa.Codec("zstd", 3)
 
 
@@ -163,13 +165,19 @@ def read_block(path: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return table["doc_id"].combine_chunks(), table["words"].to_numpy(), unpack_numbers(place)[unpack_numbers(index)]
 
 
-def split_words(docs: DataFrame, base: str, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def bucket_count(docs: DataFrame, text_column: str = "text") -> int:
+    """Buckets of the distinct-word table: one for ``BUCKET_BYTES`` of texts, and as many as there are shuffle partitions at least."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_column).cast("string")).cast("long"))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+
+
+def split_words(docs: DataFrame, base: str, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """Split texts to words: rows ``bucket``, ``block``, ``words``, the distinct words of a block that fall into a bucket of the table.
 
     A block is up to ``block_bytes`` of a task's texts; a longer text is one of its own. Its file below ``base`` has what is left: each text's words as positions in the block's list.
     An attempt writes files of its own, which only its own rows name.
     """
-    buckets = shuffle_partitions(docs.sparkSession)
+    buckets = buckets or bucket_count(docs, text_column)
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,22 +204,23 @@ def block_path(base: str, name: int) -> str:
     return f"{base}/{name:016x}.words"
 
 
-def encode_words(words: DataFrame, tokenizer_path: str) -> DataFrame:
+def encode_words(words: DataFrame, tokenizer_path: str, buckets: int | None = None) -> DataFrame:
     """Ids for the words of each row of :func:`split_words`: ``block``, ``bucket``, ``ids`` (packed).
 
-    A bucket of the distinct-word table is built by one task: equal words of all blocks meet there and each is encoded once. Buckets are by a hash of the word, and a
-    word comes once a block however frequent it is, so no bucket is hot.
+    A bucket of the distinct-word table is built by one task: equal words of all blocks meet there and each is encoded once, or again after ``TABLE_BYTES`` of others. Buckets are
+    by a hash of the word and as many as the texts need, and a word comes once a block however frequent it is, so no bucket is hot.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
-        bucket, slots, flats, lengths = None, {}, [], []
+        bucket, slots, flats, lengths, size = None, {}, [], [], 0
         for batch in batches:
             for row in batch.to_pylist():
-                if row["bucket"] != bucket:
-                    bucket, slots, flats, lengths = row["bucket"], {}, [], []
+                if row["bucket"] != bucket or size > TABLE_BYTES:
+                    bucket, slots, flats, lengths, size = row["bucket"], {}, [], [], 0
                 listed = unpack_words(row["words"])
                 todo = [w for w in listed if w not in slots]
+                size += sum(map(len, todo)) + WORD_BYTES * len(todo)
                 for k in range(0, len(todo), ENCODE):
                     found = [e.ids for e in tokenizer.encode_batch_fast(todo[k : k + ENCODE], add_special_tokens=False)]
                     lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
@@ -224,7 +233,7 @@ def encode_words(words: DataFrame, tokenizer_path: str) -> DataFrame:
                 packed = _two(pack_numbers(lengths[0][place]), pack_numbers(ids))
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["bucket"]], pa.int32()), pa.array([packed], pa.binary())], names=["block", "bucket", "ids"])
 
-    dealt = words.repartition(shuffle_partitions(words.sparkSession), "bucket").sortWithinPartitions("bucket")
+    dealt = words.repartition(buckets or shuffle_partitions(words.sparkSession), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "block long, bucket int, ids binary")
 
 
@@ -269,14 +278,15 @@ ENCODED = (T.StructField("n_tokens", T.LongType()), T.StructField("ids_text", T.
 def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_text`` (decimal ids joined by commas) and ``decoded`` (their text) of each row.
 
-    Ids are those of the tokenizer without added special tokens; special tokens' texts are theirs. Decoding joins each id with its piece, a table bounded by the vocabulary, and
-    replaces invalid bytes. Null and empty texts have no ids, repeated rows stay, an empty table gives no rows; other columns are not read.
+    Ids are those of the tokenizer without added special tokens; special tokens' texts are theirs. Decoding joins each id with its piece; that table is bounded by the vocabulary and dense by id, so
+    each task has it and the join is a look-up by place. Invalid bytes are replaced. Null and empty texts have no ids, repeated rows stay, an empty table gives no rows; other columns are not read.
     """
     kind = docs.select(F.col(id_column).alias("doc_id")).schema["doc_id"]
     base = shared_path(docs.sparkSession, "words")
     # a table, so that only committed rows name blocks: a task that runs again would make new ones
-    words = stored(split_words(docs, base, id_column, text_column, block_bytes), "split")
-    joined = encode_words(words, tokenizer_path)
+    buckets = bucket_count(docs, text_column)
+    words = stored(split_words(docs, base, id_column, text_column, block_bytes, buckets), "split")
+    joined = encode_words(words, tokenizer_path, buckets)
 
     def texts(name: int, parts: list[bytes], tables: tuple) -> Iterator[pa.RecordBatch]:
         keys, words, index = read_block(block_path(base, name))
