@@ -160,9 +160,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if left.isEmpty():
             break
         # a < b, so the higher end's least neighbour is a; a lower end points at itself unless it is a higher end elsewhere
-        up = left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
-        roots = left.select(F.col("a").alias("node")).distinct().join(up, "node", "left_anti").select("node", F.col("node").alias("to"))
-        point = checkpointed(up.unionByName(roots))
+        ends = left.select(F.col("b").alias("node"), F.col("a").alias("to")).unionByName(left.select(F.col("a").alias("node"), F.col("a").alias("to")))
+        up = point = checkpointed(ends.groupBy("node").agg(F.min("to").alias("to")))
         while True:
             hop = point.select(F.col("node").alias("to"), F.col("to").alias("next"))
             jumped = checkpointed(point.join(hop, "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
