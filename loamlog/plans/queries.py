@@ -764,16 +764,16 @@ def seek_by_time(v: Views) -> DataFrame:
 
 @query(f"SELECT {MSG} FROM log WHERE topic = 'view' AND seq >= 20")
 def T1_T7_T9_drain(v: Views) -> DataFrame:
-    from ..streaming.tail import drain
+    from ..streaming.tail import drain_stream
 
-    return drain(v.log, v.spark.createDataFrame([("view", p, 20) for p in range(4)], "topic string, partition int, start_seq long"))
+    return drain_stream(v.log_stream, v.spark.createDataFrame([("view", p, 20) for p in range(4)], "topic string, partition int, start_seq long"))
 
 
 @query(f"SELECT {MSG} FROM log")
 def T10_replication_loop(v: Views) -> DataFrame:
     from ..streaming.tail import replicate_available
 
-    return replicate_available(v.log)
+    return replicate_available(v.log_stream)
 
 
 # --- cluster metadata

@@ -82,9 +82,9 @@ class Views:
         append_log(assign_sequences(arrived, self.spark.createDataFrame([], PARTITIONS), "event_id"), path)
 
     @property
-    def numbered(self) -> DataFrame:
-        """The stored log, with the events' own columns. It is written again if the events' file changes or the store was cleared."""
-        from ..sources.store import path_status, read_log, scratch
+    def store(self) -> str:
+        """Where the log is stored. It is written again if the events' file changes or the store was cleared."""
+        from ..sources.store import path_status, scratch
 
         changed = path_status(self.spark, f"{self.sf_dir}/events.parquet")
         name = (self.spark.sparkContext.applicationId, self.sf_dir, changed)
@@ -92,7 +92,21 @@ class Views:
             path = scratch(self.spark, "log")
             self._append(path)
             _stores[name] = path
-        return read_log(self.spark, _stores[name], NUMBERED).select("topic", "partition", "seq", "ts_ms", "key", "content", "event_id", "user_id")
+        return _stores[name]
+
+    @property
+    def numbered(self) -> DataFrame:
+        """The stored log, with the events' own columns."""
+        from ..sources.store import read_log
+
+        return read_log(self.spark, self.store, NUMBERED).select("topic", "partition", "seq", "ts_ms", "key", "content", "event_id", "user_id")
+
+    @property
+    def log_stream(self) -> DataFrame:
+        """The stored log as a stream."""
+        from ..streaming.tail import stream_log
+
+        return stream_log(self.spark, self.store, NUMBERED).select("topic", "partition", "seq", "ts_ms", "key", "content")
 
     @property
     def log(self) -> DataFrame:

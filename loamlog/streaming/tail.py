@@ -28,14 +28,19 @@ def tail(stream: DataFrame, sources: DataFrame) -> DataFrame:
     return consume(stream, sources)
 
 
-def drain(log: DataFrame, sources: DataFrame) -> DataFrame:
+def drain_stream(stream: DataFrame, sources: DataFrame) -> DataFrame:
     """All that a stream has from the sources on, then stop: one run with ``availableNow`` and exactly-once file output."""
-    spark = log.sparkSession
-    at, out = scratch(spark, "drain"), scratch(spark, "drained")
+    spark = stream.sparkSession
+    out = scratch(spark, "drained")
+    tail(stream, sources).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def drain(log: DataFrame, sources: DataFrame) -> DataFrame:
+    """:func:`drain_stream` of rows that aren't stored yet; a stored log is streamed from its folder."""
+    at = scratch(log.sparkSession, "drain")
     log.write.parquet(at)
-    run = tail(stream_log(spark, at, log.schema), sources).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{at}-offsets").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(log.schema).parquet(out)
+    return drain_stream(stream_log(log.sparkSession, at, log.schema), sources)
 
 
 def replicate(stream: DataFrame, path: str, checkpoint: str, **trigger):
@@ -75,13 +80,12 @@ def replicate(stream: DataFrame, path: str, checkpoint: str, **trigger):
     return stream.writeStream.foreachBatch(copy).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def replicate_available(log: DataFrame) -> DataFrame:
-    """Replicate all of a log once."""
-    spark = log.sparkSession
-    at, out = scratch(spark, "source"), scratch(spark, "replica")
-    log.write.parquet(at)
-    replicate(stream_log(spark, at, log.schema), out, f"{out}-offsets", availableNow=True).awaitTermination()
-    return spark.read.parquet(out).select(*log.columns)
+def replicate_available(stream: DataFrame) -> DataFrame:
+    """Replicate all that a stream has once."""
+    spark = stream.sparkSession
+    out = scratch(spark, "replica")
+    replicate(stream, out, f"{out}-offsets", availableNow=True).awaitTermination()
+    return spark.read.parquet(out).select(*stream.columns)
 
 
 class LongPoll(StatefulProcessor):
