@@ -113,14 +113,15 @@ def plan_windows(counts: dict[int, int], capacity: int) -> Plan:
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Place pieces into windows of ``capacity`` ids.
 
-    ``pieces`` has ``doc_id``, ``start`` and ``length`` (1 to ``capacity``); other columns stay,
-    so none may be called as the new ones: ``sequence_id``, ``offset`` (gapless from 0 in each
+    ``pieces`` has ``doc_id``, ``start`` and ``length`` (1 to ``capacity``); other columns stay, but for those with the
+    names of new ones, which are replaced: ``sequence_id``, ``offset`` (gapless from 0 in each
     sequence), ``sequence_used`` and ``sequence_length`` (``capacity``, or the used length where
     that is a power of two, which needs no padding). Equal rows are placed each on its own.
     Pieces are ranked within their length by salted counts, so that a length that a third of all
     pieces have is spread over tasks; the driver gets one count per length.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset", "sequence_used", "sequence_length", "_salt", "_nth", "_before", "_rank")
     salts = max(64, shuffle_partitions(spark))
     others = [c for c in pieces.columns if c not in ("doc_id", "start", "length")]
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))

@@ -155,3 +155,9 @@ def test_encode_and_decode(spark, documents, texts, block_bytes):
         own = tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_text) == (len(own), ",".join(map(str, own)))
         assert r.decoded == tokenizer.decode(own, skip_special_tokens=False)
+
+
+def test_columns_that_are_called_as_new_ones_are_replaced(spark):
+    rows = spark.createDataFrame([(1, 0, 5, "x", "y", 1), (2, 0, 3, "x", "y", 2)], "doc_id long, start long, length long, sequence_id string, offset string, other int")
+    got = packing.pack(rows, 8).collect()
+    assert sorted((r.doc_id, r.other, r.sequence_id, r.offset) for r in got) == [(1, 1, 0, 0), (2, 2, 0, 5)]
