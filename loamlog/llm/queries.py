@@ -87,6 +87,9 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         feature.alias("feature"),
+        "samples",
+        "sample_rate",
+        "frame_offsets",
     )
 
 

@@ -30,3 +30,15 @@ def test_short_payload_is_an_error():
     cut = data[: found.offsets[-1]]
     with pytest.raises(ValueError):
         media.payload_of(cut, media.parse_stream(cut))
+
+
+@pytest.mark.parametrize("word", [b"TAG", b"ID3\x04\0\0\0\0\0\x0a", b"Xing\0\0\0\x0f", b"Info\0\0\0\x0f", b"\xff\xfb\x90\x64", b"\xff\xfa\x90\x64", b"APETAGEX"])
+def test_words_of_the_format_at_every_place(word):
+    """A payload is bytes: what looks like a tag, a table or a frame in it is none."""
+    size = 1024
+    for at in range(size - len(word) + 1):
+        payload = b"a" * at + word + b"b" * (size - at - len(word))
+        data = media.encode_stream(payload)
+        found = media.parse_stream(data)
+        assert media.payload_of(data, found) == payload, at
+        assert found.skipped == 0 and found.offsets == sorted(found.offsets)
