@@ -501,6 +501,12 @@ def O8_elect_leaders(v: Views) -> DataFrame:
     return C.elect_leaders(v.replicas, v.nodes, leaders)
 
 
+@query(with_cte(SOURCES, f'SELECT {MSG} FROM log JOIN src USING (topic, "partition") WHERE seq >= start_seq ORDER BY topic, "partition", seq'))
+def O1_consume_in_order(v: Views) -> DataFrame:
+    """Messages of each source in order of seq; a range sort, so no partition's order is one task's."""
+    return S.consume(v.log, _sources(v)).orderBy(*TP, "seq")
+
+
 @query('SELECT topic, "partition", base_seq, last_seq FROM segments ORDER BY topic, "partition", base_seq')
 def O5_O6_ordered_segments(v: Views) -> DataFrame:
     return v.segments.select(*TP, "base_seq", "last_seq").orderBy(*TP, "base_seq")
@@ -1031,6 +1037,18 @@ def S9_S13_segment_files(v: Views) -> DataFrame:
     return rows.select(*TP, "seq", "ts_ms", F.col("key").cast("string").alias("key"), F.col("content").cast("string").alias("content"))
 
 
+@query(f"SELECT {MSG} FROM messy WHERE topic = 'view' AND \"partition\" = 1 AND seq BETWEEN 50 AND 70")
+def S5_F7_segment_range(v: Views) -> DataFrame:
+    """A range of one partition from its segment files: folders and files are chosen by name, bundles by their headers."""
+    from ..sources.segments import read_segments, write_segments
+    from ..sources.store import scratch
+
+    path = scratch(v.spark, "ranged")
+    write_segments(v.messy.where("topic = 'view'"), path)
+    rows = S.consume_from(read_segments(v.spark, path), "view", 1, 50, end_seq=70)
+    return rows.select(*TP, "seq", "ts_ms", F.col("key").cast("string").alias("key"), F.col("content").cast("string").alias("content"))
+
+
 @query(with_cte("s AS (SELECT topic, \"partition\", segment_base, count(*) AS messages, max(seq) AS last_seq FROM messy GROUP BY ALL)", 'SELECT topic, "partition", segment_base AS base_seq, last_seq, messages FROM s'))
 def A20_verify_files(v: Views) -> DataFrame:
     from ..sources.segments import verify_segments, write_segments
