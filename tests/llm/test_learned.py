@@ -1,10 +1,13 @@
+import math
 import random
 import time
+import zlib
+from html import unescape
 
 import numpy as np
 import pytest
 
-from loamlog.llm import html, toxicity, vectors
+from loamlog.llm import html, queries, toxicity, vectors
 
 BAD = ["grubby", "rotten", "vile", "foul", "nasty"]
 
@@ -208,6 +211,54 @@ def test_extract_table(spark):
     assert html.extract_pages(pages.limit(0), html.fit_weights(pages.limit(0))).count() == 0
 
 
+def brute_text(page, weights):
+    """Every run of tokens in turn; the first longest one of the best."""
+    found = html.tokens(page, weights)
+    scores = [weights.of(t) for t in found]
+    best, run = 0.0, (0, 0)
+    for i in range(len(scores)):
+        total = 0.0
+        for j in range(i, len(scores)):
+            total += scores[j]
+            if total > best + 1e-9 or abs(total - best) <= 1e-9 and best > 0 and j + 1 - i > run[1] - run[0]:
+                best, run = max(best, total), (i, j + 1)
+    blocks, now = [], ""
+    for t in [*found[slice(*run)], html.Token("/div", block=True)]:
+        if t.block:
+            blocks.append(" ".join(unescape(now).split()))
+            now = ""
+        elif not t.boiler:
+            now += " " if t.gap else t.text
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_the_page_query_against_brute_force(spark, tmp_path):
+    r = random.Random(8)
+    pages = [gold(r, layout)[0] for layout in ("article", "main", "content", "post", "table", "plain") for _ in range(4)] + ["", None, "words", PAGE.format("z")]
+    spark.createDataFrame([(i, f"u{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    weights = html.fit_weights(spark.read.parquet(str(tmp_path / "pages.parquet")))
+    got = {x.page_id: (x.text, x.n_chars) for x in queries.op5_html(spark, str(tmp_path)).collect()}
+    want = {i: brute_text(p or "", weights) for i, p in enumerate(pages)}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
+def test_the_toxicity_query_against_brute_force(spark, tmp_path):
+    """Scores by each text's distinct features, one text at a time, with the model that the query fits."""
+    r = random.Random(4)
+    good = [f"word{k}" for k in range(60)]
+    texts = {i: " ".join(r.choice(BAD if i % 4 == 0 and r.random() < 0.4 else good) for _ in range(25)) for i in range(240)} | {900: None, 901: "", 902: " ".join(BAD)}
+    spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    model = toxicity.fit_documents(*(spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "labels")))
+    got = {x.doc_id: (x.held_out, x.score, x.predicted) for x in queries.op3_toxicity(spark, str(tmp_path)).collect()}
+    for i, t in texts.items():
+        logit = model.bias + sum(model.weights.get(int(f), 0.0) for f in toxicity.text_features(t))
+        score = 1 / (1 + math.exp(-(logit - model.threshold + math.log(0.7 / 0.3))))
+        held, found, predicted = got[i]
+        assert held == (zlib.crc32(str(i).encode()) % 3 == 1) and found == pytest.approx(score) and predicted == int(found >= 0.7)
+    assert got[902][2] == 1 and got[901][2] == got[900][2] == 0
+
+
 # --- vectors
 
 
