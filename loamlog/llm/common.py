@@ -50,7 +50,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`stored` that nothing will read any more: what was made of them is a table itself."""
+    for table in tables:
+        if path := getattr(table, "_stored_at", None):
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
@@ -155,7 +166,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     edges = checkpointed(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     done: list[DataFrame] = []
-    left = edges
+    left, steps = edges, [edges]
     for _ in range(max_rounds):
         if left.isEmpty():
             break
@@ -164,23 +175,29 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         up = point = checkpointed(ends.groupBy("node").agg(F.min("to").alias("to")))
         while True:
             hop = point.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            steps.append(point)
             jumped = checkpointed(point.join(hop, "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
-            point = jumped.select("node", "to")
+            point = jumped
             if jumped.where("moved").isEmpty():
                 break
+        point = point.select("node", "to")
         done.append(point)
         # links that pointers follow are settled; without them a node that is the least neighbour of many has few left. Tables between the joins let Spark split what is still skewed
         pb = point.select(F.col("node").alias("b"), F.col("to").alias("rb"))
         open_ = checkpointed(left.join(up.select(F.col("node").alias("b"), "to"), "b").where("a <> to").select("a", "b"))
+        steps.append(open_)
         if open_.isEmpty():
             break
         ends = checkpointed(open_.join(pb, "b").select("a", "rb"))
         pa_ = point.select(F.col("node").alias("a"), F.col("to").alias("ra"))
+        steps.append(ends)
         left = checkpointed(ends.join(pa_, "a").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        steps.append(left)
     else:
         raise RuntimeError("components did not converge")
     if not done:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+    discard(*steps)
     out = done[0]
     for point in done[1:]:
         then = point.select(F.col("node").alias("to"), F.col("to").alias("root"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, checkpointed, components, shuffle_partitions, stored
+from .common import byte_slices, checkpointed, components, discard, shuffle_partitions, stored
 
 WORDS = 5
 BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band with probability 3e-6, one of 0.85 with 2e-8
@@ -313,7 +313,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
     block = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
     beside = pairs.withColumnRenamed("b", "head").join(crowd, "head").select(F.col("head").alias("family"), block.alias("low"), F.lit(1).alias("side"), F.col("a").alias("doc_id"))
     own = crowd.select(F.col("head").alias("family"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("low"), F.lit(0).alias("side"), F.col("head").alias("doc_id"))
-    rows = checkpointed(beside.unionByName(own)).select("family", "low", F.lit(-1).alias("high"), "side", "doc_id", F.col("doc_id").alias("component"))
+    star = checkpointed(beside.unionByName(own))
+    rows = star.select("family", "low", F.lit(-1).alias("high"), "side", "doc_id", F.col("doc_id").alias("component"))
     first = stored(_tile_links(_with_texts(rows.join(marks.drop("n"), "doc_id"), texts), words, percent), "head_links")
     linked = components(first)
 
@@ -336,6 +337,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
     rest = checkpointed(_open_rows(cast, percent))
     second = stored(_tile_links(_with_texts(rest, texts), words, percent), "tile_links")
     links = linked if second.isEmpty() else components(first.unionByName(second))
+    discard(met, joints, of_a, pairs, star, first, families, pools, placed, tiles, cast, rest, second)
     roots = sets.select("set_key", "doc_id").join(links.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key")
     lone = out.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

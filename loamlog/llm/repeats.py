@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_array, bucketed, byte_slices, ragged_take, release_memory, shuffle_partitions, stored
+from .common import binary_array, bucketed, byte_slices, discard, ragged_take, release_memory, shuffle_partitions, stored
 from .induced import DEPTH, MEMORY, cool, mapped, sorted_suffixes
 
 LENGTH = 200
@@ -381,6 +381,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         for p in pieces:
             rows = rows.unionByName(p)
     out = whole.unionByName(stored(_solved(rows, length, gram), "repeats"))
+    discard(often, several)
     for p in spans:
         out = out.unionByName(p)
     return out

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, stored
+from .common import byte_slices, discard, stored
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -192,7 +192,9 @@ def fit_documents(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_PO
     if not n_positive or not n_unlabelled:
         return None
     chosen = select_features(p, n_positive, u, n_unlabelled)
-    return fit(_features(positive, chosen), _features(unlabelled, chosen), prior, chosen)
+    found = _features(positive, chosen), _features(unlabelled, chosen)
+    discard(positive, unlabelled)
+    return fit(*found, prior, chosen)
 
 
 def score_documents(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
