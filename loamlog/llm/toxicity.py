@@ -17,7 +17,7 @@ from .common import byte_slices, discard, stored
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
-MAX_POSITIVE, MAX_UNLABELLED = 2000, 8000  # bound of the rows that a model is fitted on
+MAX_POSITIVE, MAX_UNLABELLED = 2000, 16_000  # bound of the rows that a model is fitted on
 MAX_FEATURES = 4096  # bound of the features of a model; with the rows it bounds what the driver holds
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 150_000
@@ -132,36 +132,50 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(dict(zip(chosen.tolist(), weights.tolist(), strict=True)), bias, float((cuts[best[0]] + cuts[best[-1]]) / 2))
 
 
-def _counts(df: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of rows ``text``, and of those with each feature, counted in tasks; the driver gets at most ``BUCKETS`` numbers."""
+FIT_TASKS = 32  # that the texts to be fitted on are dealt to
+
+
+def _featured(df: DataFrame) -> DataFrame:
+    """``doc_id`` and ``features`` (packed) of a bounded number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, rows = np.zeros(BUCKETS, np.int32), 0
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                rows += len(part)
-                for t in part["text"].to_pylist():
-                    found[text_features(t)] += 1
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([text_features(t).tobytes() for t in part["text"].to_pylist()], pa.binary())], names=["doc_id", "features"])
+
+    return df.select("doc_id", "text").repartition(FIT_TASKS, "doc_id").mapInArrow(run, "doc_id long, features binary")
+
+
+def _counts(rows: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of rows, and of those with each feature, counted in tasks; the driver gets at most ``BUCKETS`` numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = np.zeros(BUCKETS, np.int32), 0
+        for batch in batches:
+            n += len(batch)
+            for packed in batch["features"].to_pylist():
+                found[np.frombuffer(packed, np.int32)] += 1
         own = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1), pa.int32()), pa.array(np.append(found[own], rows), pa.int64())], names=["feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1), pa.int32()), pa.array(np.append(found[own], n), pa.int64())], names=["feature", "n"])
 
-    got = df.select("text").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.select("features").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     feature, n = got["feature"].to_numpy(), got["n"].to_numpy()
     out = np.zeros(BUCKETS, np.int64)
     out[feature[feature >= 0]] = n[feature >= 0]
     return int(n[feature < 0].sum()), out
 
 
-def _features(df: DataFrame, chosen: np.ndarray) -> list[np.ndarray]:
-    """Which of the ``chosen`` features each of a bounded number of rows has, on the driver, in order of id."""
+def _features(rows: DataFrame, chosen: np.ndarray) -> list[np.ndarray]:
+    """Which of the ``chosen`` features each row has, on the driver, in order of id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(BUCKETS, bool)
+        wanted[chosen] = True
         for batch in batches:
-            for part in byte_slices(batch, "text"):
-                found = [np.intersect1d(text_features(t), chosen).astype(np.int32).tobytes() for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(found, pa.binary())], names=["doc_id", "features"])
+            found = [x[wanted[x]].tobytes() for x in (np.frombuffer(p, np.int32) for p in batch["features"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], names=["doc_id", "features"])
 
-    found = df.select("doc_id", "text").mapInArrow(run, "doc_id long, features binary").collect()
+    found = rows.mapInArrow(run, "doc_id long, features binary").collect()
     return [np.frombuffer(r["features"], np.int32) for r in sorted(found, key=lambda r: (r["doc_id"], bytes(r["features"])))]
 
 
@@ -186,8 +200,8 @@ def fit_documents(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_PO
     prior = min(0.95, max(0.001, rows["toxic"] / rows["n"]))
     texts = texts.withColumn("h", F.xxhash64("doc_id", "text", F.lit("sample")))
     ids = _least(known.where("toxic = 1").select("doc_id", F.xxhash64("doc_id", F.lit("sample")).alias("h")), max_positive)
-    positive = stored(_least(texts.join(ids.select("doc_id"), "doc_id", "left_semi"), max_positive).select("doc_id", "text"), "positive")
-    unlabelled = stored(_least(texts, max_unlabelled).select("doc_id", "text"), "unlabelled")
+    positive = stored(_featured(_least(texts.join(ids.select("doc_id"), "doc_id", "left_semi"), max_positive)), "positive")
+    unlabelled = stored(_featured(_least(texts, max_unlabelled)), "unlabelled")
     (n_positive, p), (n_unlabelled, u) = _counts(positive), _counts(unlabelled)
     if not n_positive or not n_unlabelled:
         return None
