@@ -17,6 +17,7 @@ WORDS = 5
 BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band with probability 3e-6, one of 0.85 with 2e-8
 BITS = 4
 TILE = 512
+STAR = 64  # sets that meet a band's head at once
 NO_POOL = -(1 << 62) - 1  # in the place of a component's id, for the small ones of a family together
 SCREEN_SIGMAS = 7.0  # misses a pair at the threshold with probability 3e-9 (0.85) or 1e-9 (0.8), less than the bands do
 
@@ -284,7 +285,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
     1. One pass takes each text's shingle set, its minima, the keys of its bands and the packed low bits.
        Rows with equal sets become one.
     2. Sets that share a band are paired with the band's least id only. Pairs that pass the bits' collision-corrected estimate are decided on full sets, a head
-       with up to ``TILE`` of its sets at a time. Pairs of a bucket are never listed.
+       with about ``STAR`` of its sets at a time. Pairs of a bucket are never listed.
     3. Components of all pairs of step 2, passed or not, are families of candidates: no set outside has a band in common. Families that step 2 has linked as a whole are
        done. The sets of others are dealt into blocks of about ``TILE`` and each pair of blocks is a tile, which bounds every task however large a family is; tiles within one linked
        component are left out. Tiles are screened by signatures alone, and only sets that may have a link to another component fetch their texts: these are
@@ -309,7 +310,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
     of_a = checkpointed(joints.join(marks.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a")), "a"))
     of_b = of_a.join(marks.select(F.col("doc_id").alias("b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b")), "b")
     pairs = checkpointed(_screened(of_b.select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), percent))
-    crowd = pairs.groupBy(F.col("b").alias("head")).agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("blocks"))
+    crowd = pairs.groupBy(F.col("b").alias("head")).agg(F.ceil(F.count(F.lit(1)) / F.lit(STAR)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
     beside = pairs.withColumnRenamed("b", "head").join(crowd, "head").select(F.col("head").alias("family"), block.alias("low"), F.lit(1).alias("side"), F.col("a").alias("doc_id"))
     own = crowd.select(F.col("head").alias("family"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("low"), F.lit(0).alias("side"), F.col("head").alias("doc_id"))
