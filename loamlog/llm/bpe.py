@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, kept_in_worker, open_fs, ragged_take, shared_path, shuffle_partitions, stored
+from .common import bound_batches, byte_slices, kept_in_worker, open_fs, ragged_take, shared_path, shuffle_partitions, stored
 
 BLOCK_BYTES = 24 << 20
 ENCODE = 20_000
@@ -178,7 +178,7 @@ def split_words(docs: DataFrame, base: str, id_column: str = "doc_id", text_colu
     An attempt writes files of its own, which only its own rows name.
     """
     buckets = buckets or bucket_count(docs, text_column)
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    rows = bound_batches(docs).select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = BlockWriter()

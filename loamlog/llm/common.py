@@ -93,6 +93,14 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """The rows, with Arrow batches of their session bound by bytes and not by rows alone, unless the session has set that itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(SLICE_BYTES))
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

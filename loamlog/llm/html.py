@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import bound_batches, byte_slices
 
 MAX_PAGES = 400  # bound of the labelled pages that weights are learned from
 MAX_KEYS = 20_000  # bound of the counts that are learned from
@@ -252,7 +252,7 @@ def fit_weights(pages: DataFrame, max_pages: int = MAX_PAGES, id_column: str = "
     """
     html = F.col(html_column).cast("string")
     lower = F.lower(html)
-    marked = pages.where(lower.contains("<article") & lower.contains("</article")).select(html.alias("html"), F.xxhash64(F.col(id_column), html).alias("h"))
+    marked = bound_batches(pages).where(lower.contains("<article") & lower.contains("</article")).select(html.alias("html"), F.xxhash64(F.col(id_column), html).alias("h"))
     chosen = [r["h"] for r in marked.select("h").orderBy("h").limit(max_pages).collect()]
     sample = marked.where(F.col("h") <= chosen[-1]) if len(chosen) == max_pages else marked
 
@@ -283,7 +283,7 @@ def extract_pages(pages: DataFrame, weights: Weights, id_column: str = "page_id"
 
     Null and empty pages, and those without words, have an empty text. Repeated rows stay; other columns are not read.
     """
-    rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.coalesce(F.col(html_column).cast("string"), F.lit("")).alias("html"))
+    rows = bound_batches(pages).select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.coalesce(F.col(html_column).cast("string"), F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

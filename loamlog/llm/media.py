@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, stored
+from .common import bound_batches, byte_slices, stored
 
 # Fixed values of the MPEG audio standards (ISO/IEC 11172-3 and 13818-3): kbit/s by index 1 to 14.
 BITRATES = {
@@ -236,7 +236,7 @@ def encode_media(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     The payload is the text with bytes 0 up to a positive multiple of 64, so a null or empty text has
     64 bytes. Other columns are not read; repeated rows stay.
     """
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("text"))
+    rows = bound_batches(docs).select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +283,7 @@ def index_media(media: DataFrame, column: str = "media") -> DataFrame:
                 new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), *new], names=[*kept, *MEDIA_FIELDS.names])
 
-    rows = media.select(*kept)
+    rows = bound_batches(media).select(*kept)
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *MEDIA_FIELDS.fields]))
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, checkpointed, components, discard, shuffle_partitions, stored
+from .common import bound_batches, byte_slices, checkpointed, components, discard, shuffle_partitions, stored
 
 WORDS = 5
 BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band with probability 3e-6, one of 0.85 with 2e-8
@@ -172,7 +172,7 @@ def link_sets(sets: list[np.ndarray], signatures: np.ndarray, left: np.ndarray,
 
 
 def _signed(docs: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rows = bound_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

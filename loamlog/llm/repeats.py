@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_array, bucketed, byte_slices, discard, ragged_take, release_memory, shuffle_partitions, stored
+from .common import binary_array, bound_batches, bucketed, byte_slices, discard, ragged_take, release_memory, shuffle_partitions, stored
 from .induced import DEPTH, MEMORY, cool, mapped, sorted_suffixes
 
 LENGTH = 200
@@ -399,7 +399,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     kept = [c for c in docs.columns if c not in new]
     text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary")
     key = F.xxhash64(F.col(id_column), F.col(text_column))
-    rows = docs.select(key.alias("_row_key"), text.alias("_text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(kept) if c != text_column))
+    rows = bound_batches(docs).select(key.alias("_row_key"), text.alias("_text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(kept) if c != text_column))
     rows = bucketed(rows, "texts", "_row_key")  # texts move once, here; what is found out about them moves to them
     texts = rows.select(F.col("_row_key").alias("row_key"), F.col("_text").alias("text"))
     spans = repeated_spans(texts, length, gram).groupBy("row_key").agg(F.collect_set(F.struct("low", "windows")).alias("spans"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_array, byte_slices, checkpointed, open_fs, shared_path
+from .common import binary_array, bound_batches, byte_slices, checkpointed, open_fs, shared_path
 from .tokens import with_end, word_encoder
 
 MAGIC = b"PFORIDS1"
@@ -210,7 +210,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
     empty, an empty table gives an empty manifest. Other columns are not read.
     """
     base = path or shared_path(docs.sparkSession, "token-ids")
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    rows = bound_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()

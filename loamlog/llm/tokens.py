@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_array, byte_slices, kept_in_worker, ragged_take
+from .common import binary_array, bound_batches, byte_slices, kept_in_worker, ragged_take
 
 CACHE_BYTES = 24 << 20  # of words that an encoder knows
 WORD_BYTES = 170  # of a word besides its letters: its string, its place in the dictionary, its ids
@@ -162,6 +162,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int
                 offsets = np.concatenate([[0], np.cumsum(length)])
                 yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(doc)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(counts[doc], pa.int64()), binary_array(flat.astype("<u4"), offsets)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rows = bound_batches(docs).select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     out = T.StructType([rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens")), T.StructField("ids", T.BinaryType())])
     return rows.mapInArrow(run, out)

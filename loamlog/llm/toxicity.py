@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, discard, stored
+from .common import bound_batches, byte_slices, discard, stored
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -192,7 +192,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_PO
     fitted on, with at most ``MAX_FEATURES`` features; the class prior comes from all labels that may be learned from. A document counts as toxic if any of its
     labels says so; null labels and labels of no document count for nothing.
     """
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).where(~held_out() & F.col("doc_id").isNotNull())
+    texts = bound_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).where(~held_out() & F.col("doc_id").isNotNull())
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(~held_out())
     rows = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)).alias("toxic")).first()
     if not rows["toxic"]:
@@ -249,6 +249,6 @@ def score_documents(docs: DataFrame, model: Model | None, threshold: float = 0.7
                     score = logit
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), pa.array(score, pa.float64()), pa.array(score >= threshold).cast(pa.int32())], names=[*kept, "score", "predicted"])
 
-    rows = docs.select(*kept)
+    rows = bound_batches(docs).select(*kept)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{fields}, score double, predicted int")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, open_fs, shared_path, stored
+from .common import bound_batches, checkpointed, components, open_fs, shared_path, stored
 
 BLOCK = 2048
 PIVOTS = 64
@@ -147,7 +147,7 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9, id_column: str = "v
     no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"))
+    rows = bound_batches(vectors).select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v"))
     fit = F.expr("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0) and vec_id is not null")
     rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False)))
     sound = rows.where("fit")

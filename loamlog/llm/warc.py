@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, checkpointed, open_fs, shared_path
+from .common import bound_batches, byte_slices, checkpointed, open_fs, shared_path
 
 MAGIC = b"WARC/1.1\r\n"
 GZIP = b"\x1f\x8b\x08"
@@ -98,7 +98,7 @@ def write_archives(records: DataFrame, path: str | None = None, date: str = "197
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [target], "size": [size], "records": [records]})
 
-    ready = records.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", "refers_to")
+    ready = bound_batches(records).select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", "refers_to")
     return checkpointed(ready.mapInArrow(_filled(write), PLACES))
 
 
