@@ -218,3 +218,10 @@ def test_a_segment_is_verified_whole_however_its_rows_come(spark, in_parts):
     names = {os.path.basename(s.path) for s in segments.list_segments(path)}
     spans = log.groupBy("partition", "segment_base").agg(F.max("seq").alias("last"), F.expr("min(ts_ms) div 1000").alias("at")).collect()
     assert names == {f"{r.segment_base}_{r.at}.log" if r.last == 2000 else f"{r.segment_base}-{r.last}_{r.at}.ilog" for r in spans}
+
+
+def test_every_message_comes_back_however_its_rows_come(spark, in_parts):
+    log, path = in_parts
+    columns = ["topic", "partition", "seq", "ts_ms", "key", "content", "segment_base"]
+    got = segments.read_segments(spark, path).select(*(F.col(c).cast("string") for c in columns)).collect()
+    assert sorted(got) == sorted(log.select(*(F.col(c).cast("string") for c in columns)).collect())
