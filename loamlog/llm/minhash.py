@@ -19,6 +19,7 @@ BITS = 4
 TILE = 512
 STAR = 64  # sets that meet a band's head at once
 NO_POOL = -(1 << 62) - 1  # in the place of a component's id, for the small ones of a family together
+SIEVE_WORDS = 1 << 18  # of 64 bits, for the ids whose texts are fetched
 SCREEN_SIGMAS = 7.0  # misses a pair at the threshold with probability 3e-9 (0.85) or 1e-9 (0.8), less than the bands do
 
 _random = np.random.Generator(np.random.PCG64(20240229))
@@ -271,9 +272,21 @@ def _screened(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows of tiles with the text of each."""
-    return texts.join(rows, "doc_id").select(*TILE_KEY, "side", "doc_id", "component", "bits", "text")
+def _sieved(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ``ids`` and few others, so that a join need not move all of them.
+
+    A text passes where a bit is set by the hash of its id. The bits have at most ``SIEVE_WORDS`` rows however many ids there are, and are broadcast. With many more ids than
+    bits all texts pass; none that is needed is ever held back.
+    """
+    mark, bit = F.xxhash64("doc_id"), F.expr("cast(xxhash64(doc_id) & 63 as int)")
+    word = F.pmod(F.shiftright(mark, 6), F.lit(SIEVE_WORDS)).alias("_word")
+    sieve = ids.select(word, F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return texts.select("*", word).join(F.broadcast(sieve), "_word").where(F.getbit("_bits", bit) == 1).drop("_word", "_bits")
+
+
+def _with_texts(rows: DataFrame, texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of tiles with the text of each; ``ids`` has their doc_ids."""
+    return _sieved(texts, ids).join(rows, "doc_id").select(*TILE_KEY, "side", "doc_id", "component", "bits", "text")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -316,7 +329,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
     own = crowd.select(F.col("head").alias("family"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("low"), F.lit(0).alias("side"), F.col("head").alias("doc_id"))
     star = checkpointed(beside.unionByName(own))
     rows = star.select("family", "low", F.lit(-1).alias("high"), "side", "doc_id", F.col("doc_id").alias("component"))
-    first = stored(_tile_links(_with_texts(rows.join(marks.drop("n"), "doc_id"), texts), words, percent), "head_links")
+    first = stored(_tile_links(_with_texts(rows.join(marks.drop("n"), "doc_id"), texts, star), words, percent), "head_links")
     linked = components(first)
 
     # step 3: what is left between components of a family
@@ -336,7 +349,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, id_c
     sides = tiles.select("family", "low", "high", F.col("low").alias("block"), F.lit(0).alias("side")).unionByName(tiles.where("low <> high").select("family", "low", "high", F.col("high").alias("block"), F.lit(1).alias("side")))
     cast = checkpointed(placed.join(sides, ["family", "block"]).join(marks, "doc_id").select(*TILE_KEY, "side", "doc_id", "component", "bits", "n"))
     rest = checkpointed(_open_rows(cast, percent))
-    second = stored(_tile_links(_with_texts(rest, texts), words, percent), "tile_links")
+    second = stored(_tile_links(_with_texts(rest, texts, rest), words, percent), "tile_links")
     links = linked if second.isEmpty() else components(first.unionByName(second))
     discard(met, joints, of_a, pairs, star, first, families, pools, placed, tiles, cast, rest, second)
     roots = sets.select("set_key", "doc_id").join(links.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component"))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import tracemalloc
 from collections import Counter
 
@@ -236,3 +237,36 @@ def test_repeats_of_nothing_and_repeated_rows(spark, documents):
     docs = documents({1: text, 2: None}).unionByName(documents({1: text}))
     docs = docs.unionByName(docs.selectExpr("cast(null as long) as doc_id", *docs.columns[1:]))
     assert sorted((r.doc_id or 0, r.n_removed) for r in repeats.remove_repeats(docs).collect()) == [(0, 0), (0, 260), (0, 260), (1, 260), (1, 260), (2, 0)]
+
+
+def shuffled(spark):
+    """Bytes that this session's tasks have written for shuffles."""
+    time.sleep(0.3)  # counts are brought up to date by tasks that end a while after the last time
+    spark.range(1).count()
+    found = spark._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_only_texts_of_possible_links_are_moved(spark, documents):
+    """Where no side of a join is small, the texts of sets without candidates stay where they are."""
+    r = random.Random(8)
+    own = {i: " ".join(f"{r.getrandbits(64):x}" for _ in range(400)) for i in range(400)}
+    own[1000] = own[7] + " more"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = {x.doc_id: x.component_id for x in minhash.near_duplicates(documents(own)).collect()}
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {**{i: i for i in own}, 1000: 7}
+    assert 0 < moved < sum(map(len, own.values())) / 4
+
+
+@pytest.mark.parametrize("words", [1, 1 << 18])
+def test_the_sieve_keeps_every_text_that_is_needed(spark, documents, words, monkeypatch):
+    monkeypatch.setattr(minhash, "SIEVE_WORDS", words)
+    docs = documents({i: str(i) for i in range(-500, 1500)}, extra=False)
+    kept = {x.doc_id for x in minhash._sieved(docs, docs.where("doc_id % 10 = 0").select("doc_id")).collect()}
+    assert kept >= set(range(-500, 1500, 10))
+    assert (len(kept) < 210) == (words > 1)
