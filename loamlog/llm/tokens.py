@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -81,9 +81,16 @@ class WordEncoder:
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             self._add(alone, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
 
-    def _slots_of(self, words: pa.Array) -> np.ndarray:
-        listed = words.to_pylist()
-        return np.fromiter(map(self.slots.__getitem__, listed), np.int64, len(listed))
+    def _slots_of(self, *columns: pa.Array) -> list[np.ndarray]:
+        """Place of each word of the columns; new ones are learnt."""
+        listed = [c.to_pylist() for c in columns]
+        found = [np.fromiter(map(self.slots.get, words, repeat(-1)), np.int64, len(words)) for words in listed]
+        missing = [np.flatnonzero(f < 0).tolist() for f in found]
+        if new := list(dict.fromkeys(words[i] for words, at in zip(listed, missing, strict=True) for i in at)):
+            self._learn(new)
+            for words, at, slots in zip(listed, missing, found, strict=True):
+                slots[at] = [self.slots[words[i]] for i in at]
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and each text's number of ids; null counts as empty."""
@@ -99,11 +106,10 @@ class WordEncoder:
         stems, tails = stem.dictionary_encode(), tail.dictionary_encode()
         if self.size > CACHE_BYTES:
             self._forget()
-        if new := [w for w in dict.fromkeys([*stems.dictionary.to_pylist(), *tails.dictionary.to_pylist()]) if w not in self.slots]:
-            self._learn(new)
+        slots = self._slots_of(stems.dictionary, tails.dictionary)
         pair = np.empty(2 * len(words), np.int64)
-        pair[0::2] = self._slots_of(stems.dictionary)[stems.indices.to_numpy(zero_copy_only=False)]
-        pair[1::2] = self._slots_of(tails.dictionary)[tails.indices.to_numpy(zero_copy_only=False)]
+        pair[0::2] = slots[0][stems.indices.to_numpy(zero_copy_only=False)]
+        pair[1::2] = slots[1][tails.indices.to_numpy(zero_copy_only=False)]
         table = ragged_take(self.flat, self.starts[pair], self.lengths[pair])
         sizes = self.lengths[pair].reshape(-1, 2).sum(axis=1)
         starts = np.cumsum(sizes) - sizes
